@@ -45,7 +45,7 @@ def text_or_empty(col: Column) -> Column:
 
 
 def semi_by_size(left: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
-    """Semi or anti join; the distinct ``keys`` are broadcast if they are few, else shuffled.
+    """A join with ``keys``, which are broadcast if they are few, else shuffled.
 
     ``keys`` has to be a materialized table, as it is counted first.
     """

@@ -26,8 +26,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import WORD, materialize, running_before, task_count, text_or_empty, unit_hash
+from .common import WORD, materialize, running_before, semi_by_size, task_count, text_or_empty, unit_hash
 
 #: More sources than this end the run with an error.
 MAX_SOURCES = 100_000
@@ -103,19 +104,13 @@ def plan_sources(sized: DataFrame, share: float, max_epochs: float, cycle: tuple
     ]
 
 
-def mix(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-    share: float = 1.5,
-    max_epochs: float = 2.0,
-    cycle: tuple[float, ...] = (3, 1, 2),
-    block: int = BLOCK_WORDS,
-) -> DataFrame:
-    """``key``, size, source_size, target, taken and the place of the document's first slot, first_slot."""
-    spark = docs.sparkSession
-    sized = materialize(docs.select(F.col(key).alias("id"), source_key(F.col(source)).alias("source"), word_count(F.col(text)).alias("size"), F.xxhash64(text_or_empty(F.col(text))).alias("body")))
+def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    body = F.xxhash64(text_or_empty(F.col(text)))
+    return docs.select(F.col(key).alias("id"), source_key(F.col(source)).alias("source"), word_count(F.col(text)).alias("size"), body.alias("body"))
+
+
+def _taken(sized: DataFrame, share: float, max_epochs: float, cycle: tuple[float, ...], block: int) -> DataFrame:
+    spark = sized.sparkSession
     plan = plan_sources(sized, share, max_epochs, cycle, block)
     facts = spark.createDataFrame(
         [(p["source"], p["size"], p["target"], p["take"]) for p in plan], "source string, source_size long, target double, take long"
@@ -143,8 +138,56 @@ def mix(
         .groupBy("source", "start")
         .agg(F.sum(F.greatest(high - low, F.lit(0))).alias("taken"), F.min("slot").alias("first_slot"))
     )
-    rows = laid.join(taken, ["source", "start"], "left").select("id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
-    empty = sized.where("size = 0").select("id", "source", "size", "source_size", "target", F.lit(0).alias("taken"), F.lit(None).cast("long").alias("first_slot"))
-    return rows.unionByName(empty).select(
-        F.col("id").alias(key), F.col("size").cast("long"), F.col("source_size").cast("long"), F.col("target"), F.col("taken").cast("long"), F.col("first_slot")
+    rows = laid.join(taken, ["source", "start"], "left").select("id", "source", "body", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
+    empty = sized.where("size = 0").select("id", "source", "body", "size", "source_size", "target", F.lit(0).alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    return rows.unionByName(empty)
+
+
+def mix(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    share: float = 1.5,
+    max_epochs: float = 2.0,
+    cycle: tuple[float, ...] = (3, 1, 2),
+    block: int = BLOCK_WORDS,
+) -> DataFrame:
+    """``key``, size, source_size, target, taken and the place of the document's first slot, first_slot."""
+    out = _taken(materialize(_sized(docs, key, text, source)), share, max_epochs, cycle, block)
+    return out.select(
+        F.col("id").alias(key), F.col("size").cast("long"), F.col("source_size").cast("long"), "target", F.col("taken").cast("long"), "first_slot"
+    )
+
+
+def sample(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    share: float = 1.5,
+    max_epochs: float = 2.0,
+    cycle: tuple[float, ...] = (3, 1, 2),
+    block: int = BLOCK_WORDS,
+) -> DataFrame:
+    """The mixture in whole documents: each occurs taken / size times, rounded (half up)."""
+    out = _taken(materialize(_sized(docs, key, text, source)), share, max_epochs, cycle, block)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
+    known = [F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("__id"), F.col("source").alias("__source"), F.col("body").alias("__body")]
+    counts = materialize(out.groupBy(*known).agg(F.sum(copies).cast("int").alias("__copies"), F.count(F.lit(1)).cast("int").alias("__rows")).where("__copies > 0"))
+    tagged = docs.select(
+        "*",
+        F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("__id"),
+        source_key(F.col(source)).alias("__source"),
+        F.xxhash64(text_or_empty(F.col(text))).alias("__body"),
     )
+    keys = ["__id", "__source", "__body"]
+    once = semi_by_size(tagged, counts.where("__rows = 1"), keys, "inner")
+    many = counts.where("__rows > 1")
+    if not many.isEmpty():
+        # rows that are the same in key, source and text share their copies out evenly
+        again = semi_by_size(tagged, many, keys, "inner")
+        turn = F.row_number().over(Window.partitionBy(*keys).orderBy("__copies"))
+        again = again.withColumn("__copies", F.expr("__copies div __rows").cast("int") + (turn <= F.col("__copies") % F.col("__rows")).cast("int"))
+        once = once.unionByName(again)
+    return once.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop(*keys, "__copies", "__rows", "__copy")

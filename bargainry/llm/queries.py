@@ -7,8 +7,22 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, sharding
-from .common import table, text_or_empty
+from . import bpe, chat, exact_dedup, fingerprint, mixing, near_dedup, quality, sharding, substring_dedup, toxicity
+from .common import WORD, table
+
+#: Where the public tokenizers' files are, by name.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprint.compare_edits(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +65,49 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, path).drop("text")
+    out = bpe.decode(ids, path)
+    told = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(told, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic")
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", "severity", "grade", (F.col("grade") > 0).alias("toxic"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~quality.held_out(F.col("doc_id")))
+    out = quality.score(docs, quality.fit(docs, labels))
+    return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op1_fingerprint": op1_fingerprint,
     "op2_sharding": op2_sharding,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_chat": op5_chat,
+    "op6_bpe": op6_bpe,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_quality": op10_quality,
 }
 
 
@@ -84,4 +136,14 @@ ORACLE_SQL = {
                CAST({len(chat.BEGIN)} + sum({len(chat.ROLE) + len(chat.ROLE_END) + len(chat.TURN_END)}
                     + length({_escaped_sql("role")}) + length({_escaped_sql("text")})) AS BIGINT) AS formatted_chars
         FROM rows GROUP BY conv_id""",
+    "op7_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+        w AS (SELECT doc_id, pos, words[pos:pos + 12] AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS pos FROM d)),
+        owned AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY win) AS owner FROM w),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM owned WHERE owner < doc_id),
+        word AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word FROM d),
+        kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS body FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(body, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
 }
