@@ -78,26 +78,25 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
     state = materialize(
         nodes.join(known, ["c", "cn", "parent"], "left").select("c", "cn", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("hops"), F.col("score").cast("double").alias("total"))
     )
-    rounds = [state]
-    longest = max(1, math.ceil(math.log2(nodes.count() + 1)) + 1)
-    for _ in range(longest):
-        if state.where("up is not null").isEmpty():
+    # Messages whose pointer has passed the root are done and only serve the others.
+    active, done = state.where("up is not null"), state.where("up is null")
+    rounds: list[DataFrame] = []
+    for _ in range(max(1, math.ceil(math.log2(nodes.count() + 1)) + 1)):
+        if active.isEmpty():
             break
-        above = state.select("c", "cn", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("total").alias("total2"))
+        rounds.append(active)
+        above = done.unionByName(active).select("c", "cn", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("total").alias("total2"))
         state = materialize(
-            state.join(above, ["c", "cn", "up"], "left").select(
-                "c", "cn", "node", F.col("up2").alias("up"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")
-            )
+            active.join(above, ["c", "cn", "up"]).select("c", "cn", "node", F.col("up2").alias("up"), (F.col("hops") + F.col("hops2")).alias("hops"), (F.col("total") + F.col("total2")).alias("total"))
         )
-        rounds.append(state)
-    rooted = state.where("up is null")
+        active, done = state.where("up is not null"), done.unionByName(state.where("up is null"))
     answered = nodes.where("parent is not null").select("c", "cn", F.col("parent").alias("node")).distinct()
-    leaves = rooted.join(answered, ["c", "cn", "node"], "left_anti")
+    leaves = done.join(answered, ["c", "cn", "node"], "left_anti")
     best = Window.partitionBy("c", "cn").orderBy((F.col("total") / F.col("hops")).desc(), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= top)
     marked = chosen.select("c", "cn", F.col("node").alias("leaf"), "branch", "node", (F.col("hops") - 1).alias("depth"))
-    for k, pointers in enumerate(rounds[:-1]):
-        jump = pointers.where("up is not null").select("c", "cn", "node", "up")
+    for k, pointers in enumerate(rounds):
+        jump = pointers.select("c", "cn", "node", "up")
         above = marked.join(jump, ["c", "cn", "node"]).select("c", "cn", "leaf", "branch", F.col("up").alias("node"), (F.col("depth") - 2**k).alias("depth"))
         marked = materialize(marked.unionByName(above))
     return marked
