@@ -12,8 +12,10 @@ whose words also start in a document with a smaller id; windows are judged on th
    seeds and sends, for each, the smallest and largest id among its documents; the smallest
    over all shards owns the window.
 3. Automata.  A shard gets the windows that some document of its own holds and a smaller id
-   owns.  It finds one place of each, compiles the words there into an Aho-Corasick
-   automaton, and streams its documents through it, word by word, to find every occurrence.
+   owns.  Where they first stand side by side they make passages.  A passage is cut into
+   pieces of (width + 1) / 2 words, so that each of its windows holds a whole piece, and the
+   pieces are compiled into one Aho-Corasick automaton.  The documents stream through it word
+   by word; a window is found where a piece occurs and the window's hash around it fits.
 
 What a shard holds is bounded by ``SHARD_BYTES`` of text (or one document); the number of
 shards follows the size of the input.
@@ -144,6 +146,7 @@ def _confirm(width: int):
 
 def _remove(width: int):
     """Step 3 for one shard."""
+    piece = (width + 1) // 2
 
     def remove(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         window, owner = _arrays(wanted, "window", "owner")
@@ -152,12 +155,11 @@ def _remove(width: int):
         window, owner = window[order], owner[order]
         hashes_of = WordHashes()
         ids = docs.column("id").to_pylist()
-        texts = docs.column("text").cast(pa.large_binary()).to_pylist()
-        parted = [split(t) for t in texts]
+        parted = [split(t) for t in docs.column("text").cast(pa.large_binary()).to_pylist()]
         numbers: dict[bytes, int] = {}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         placed = np.zeros(len(window), bool)
-        holders = set()
+        holders: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n, words in enumerate(parted if len(window) else []):
             if len(words) < width:
                 continue
@@ -166,30 +168,36 @@ def _remove(width: int):
             hits = np.flatnonzero(window[at] == own)
             if not len(hits):
                 continue
-            holders.add(n)
             which = at[hits]
-            _, firsts = np.unique(which, return_index=True)
-            for position, w in zip(hits[firsts].tolist(), which[firsts].tolist(), strict=True):
-                if not placed[w]:
-                    placed[w] = True
-                    key = tuple([numbers.setdefault(x, len(numbers) + 1) for x in words[position : position + width]])
-                    automaton.add_word(key, w)
+            holders[n] = hits, which
+            # passages: stretches of windows that no document before has placed
+            _, first = np.unique(which, return_index=True)
+            new = np.sort(first[~placed[which[first]]])
+            placed[which] = True
+            starts = hits[new]
+            for stretch in np.split(starts, np.flatnonzero(np.diff(starts) != 1) + 1) if len(starts) else []:
+                for begin in range(int(stretch[0]), int(stretch[-1]) + width - piece + 1, piece):
+                    automaton.add_word(tuple([numbers.setdefault(x, len(numbers) + 1) for x in words[begin : begin + piece]]), 1)
         if holders:
             automaton.make_automaton()
-        owner = owner.tolist()
         kept, removed = [], []
         for n, words in enumerate(parted):
             gone = 0
             if n in holders:
-                cover, i, upto = bytearray(b"\1") * len(words), ids[n], 0
+                hits, which = holders[n]
                 number = numbers.get
-                for end, w in automaton.iter(tuple([number(x, 0) for x in words])):
-                    if owner[w] < i:
-                        start = max(upto, end - width + 1)
-                        cover[start : end + 1] = bytes(end + 1 - start)
-                        upto = end + 1
-                gone = cover.count(0)
-                words = list(compress(words, cover)) if gone else words
+                ends = np.fromiter((e for e, _ in automaton.iter(tuple([number(x, 0) for x in words]))), np.int64)
+                # an occurrence lies within the window that it confirms
+                at = np.searchsorted(ends, hits + piece - 1)
+                sure = np.append(ends, _LAST)[at] < hits + width
+                starts = hits[sure & (owner[which] < ids[n])]
+                if len(starts):
+                    edges = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(edges, starts, 1)
+                    np.add.at(edges, starts + width, -1)
+                    stay = np.cumsum(edges[:-1]) == 0
+                    gone = len(words) - int(stay.sum())
+                    words = list(compress(words, stay.tolist()))
             kept.append(b" ".join(words))
             removed.append(gone)
         return pa.table(
