@@ -12,15 +12,17 @@ Signatures are cut into bands.  Texts that share a band are candidates, and a ca
 a link if its exact similarity is ``threshold`` or more.  Equal texts are one node from the
 start.  A band's group is not expanded into pairs:
 
-1. each node is compared with one hub (the least node of a group), the one it shares most
-   bands with;
+1. each node is compared with one hub (the node of a group that shares most with others),
+   the one it shares most bands with;
 2. then with the other hubs of its groups that are in another component by then;
-3. then, in groups that still span components, a new hub is taken, ``HUBS`` times, and at
-   last what is left is compared across components.
+3. in groups that still span components, all pairs that reach the threshold are found by
+   prefix filtering: elements are ordered from rare to frequent, and two sets can only reach
+   it if the first few elements of both (how few follows from their sizes) have one in
+   common that leaves room for the rest.  Only pairs of two components are looked at.
 
-All pairs of candidates that end in two components have been compared, so no link between
-components is lost.  With the default 40 bands of 5, a pair at 0.8 shares no band with a
-chance of 1.3e-7.
+Links between components are so found for all candidates, while copies of one original,
+however many, cost a row each.  With the default 40 bands of 5, a pair at 0.8 shares no
+band with a chance of 1.3e-7.
 
 Defined results: a null text is an empty text; texts without words are alike (one class);
 null ids come after all others; repeated rows share their class; an empty table gives no
@@ -42,7 +44,8 @@ from .words import WordHashes, mixed, runs, split
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 40, 5
-HUBS = 2
+#: Sizes of sets are sorted into classes this factor apart for the prefix filter.
+SIZE_CLASS = 1.05
 _STEP, _COORDINATE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(0xFFFFF)
 
@@ -204,6 +207,29 @@ class _Links:
         self.labels = materialize(self.labels)
 
 
+def similar_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of what may reach the threshold among sets (node, part, grams) of different parts."""
+    share = threshold / (1 + threshold)
+    tokens = sets.select("node", "part", F.size("grams").alias("n"), F.explode("grams").alias("t"))
+    rarity = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
+    ordered = tokens.join(rarity, "t").groupBy("node").agg(F.first("part").alias("part"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))
+    ordered = materialize(ordered)
+
+    def prefix(df: DataFrame, least_overlap: Column) -> DataFrame:
+        length = (F.col("n") - F.ceil(least_overlap - 1e-6) + 1).cast("int")
+        rows = df.select("node", "part", "n", "class", F.posexplode(F.slice("o", 1, F.greatest(length, F.lit(0)))).alias("at", "x"))
+        return rows.where("x.f > 1").select("class", "x.t", "node", "part", "n", "at")  # an element of one set joins nothing
+
+    class_of = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(SIZE_CLASS))).cast("int")
+    smaller = prefix(ordered.withColumn("class", class_of(F.col("n"))), 2 * share * F.col("n"))
+    spread = F.explode(F.sequence(class_of(F.ceil(threshold * F.col("n") - 1e-6)), class_of(F.col("n")))).alias("class")
+    larger = prefix(ordered.select("*", spread), share * (F.col("n") + F.pow(F.lit(SIZE_CLASS), F.col("class"))))
+    larger = larger.select("class", "t", *[F.col(c).alias(f"{c}2") for c in ("node", "part", "n", "at")])
+    room = 1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) - 1
+    fits = (F.col("n") <= F.col("n2")) & (F.col("part") != F.col("part2")) & (room >= F.ceil(share * (F.col("n") + F.col("n2")) - 1e-6))
+    return smaller.join(larger, (smaller["class"] == larger["class"]) & (smaller["t"] == larger["t"]) & fits).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+
+
 def links(
     docs: DataFrame,
     text: str = "text",
@@ -217,30 +243,23 @@ def links(
     plain = docs.select(node_of(F.col(text)).alias("node"), text_or_empty(F.col(text)).alias("text"))
     sketched = plain.mapInArrow(_banded(shingle, bands, rows, weighted), "node binary, bands array<long>")
     cells = materialize(sketched.groupBy("node").agg(F.first("bands").alias("bands"))).select("node", F.explode("bands").alias("key"))
-    hubs = cells.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
-    live = materialize(cells.join(hubs, "key").select("key", "node", "hub"))
+    shared = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialize(cells.join(shared, "key"))
+    degrees = met.groupBy("node").agg(F.sum("n").alias("degree"))
+    ranked = met.join(degrees, "node")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("x")).select("key", F.col("x.node").alias("hub"))
+    live = materialize(met.join(hubs, "key"))
     out = _Links(docs, text, shingle, weighted, threshold)
     out.gather(materialize(live.select("node").distinct()))
     pairs = materialize(live.where("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n")))
     out.compare(pairs.groupBy("node").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")))
     rest = out.label(out.label(pairs, "node", "p"), "hub", "q").where("p != q")
     out.compare(rest.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    for last in [False] * HUBS + [True]:
-        spanning = out.label(live.select("key", "node", "hub"), "node", "p")
-        open_keys = spanning.groupBy("key").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.min(F.when(F.col("node") != F.col("hub"), F.struct("p", "node"))).alias("least"), F.count(F.lit(1)).alias("n"))
-        # a group of two has been compared
-        open_keys = open_keys.where("low != high and n > 2")
-        if last:
-            spanning = materialize(spanning.join(open_keys.select("key"), "key").where("node != hub"))
-            if not spanning.isEmpty():
-                other = spanning.select("key", F.col("node").alias("other"), F.col("p").alias("q"))
-                out.compare(spanning.join(other, "key").where("p < q").select(F.col("node").alias("a"), F.col("other").alias("b")))
-            break
-        hubs = open_keys.select("key", F.col("least.node").alias("next"), F.col("least.p").alias("q"))
-        more = materialize(spanning.join(hubs, "key").where("p != q and node != next").select(F.col("node").alias("a"), F.col("next").alias("b")))
-        if more.isEmpty():
-            continue
-        out.compare(more)
+    spanning = out.label(live.where("n > 2").select("key", "node"), "node", "part")  # a group of two has been compared
+    open_keys = spanning.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
+    left = materialize(spanning.join(open_keys, "key").select("node", "part").distinct())
+    if not left.isEmpty():
+        out.compare(similar_pairs(out.grams.join(left, "node"), threshold))
     return out.labels
 
 
