@@ -58,9 +58,13 @@ def strip_html(text: Column | str) -> Column:
     out = F.regexp_replace(col(text), "<[^>]*>", " ")
     # one pass over the entities, so "&amp;lt;" stays "&lt;"
     parts = F.split(out, "&amp;")
-    for entity, plain in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">")):
-        parts = F.transform(parts, lambda p, e=entity, c=plain: F.replace(p, F.lit(e), F.lit(c)))
-    return F.array_join(parts, "&")
+
+    def plain(part: Column) -> Column:
+        for entity, mark in (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">")):
+            part = F.replace(part, F.lit(entity), F.lit(mark))
+        return part
+
+    return F.array_join(F.transform(parts, plain), "&")
 
 
 def trim_description(text: Column | str, most: int = 220) -> Column:
