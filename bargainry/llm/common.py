@@ -29,14 +29,18 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, *sort: str) -> DataFrame:
+def materialize(df: DataFrame, *sort: str, bloom: str | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
-    This cuts the lineage: a lost executor costs a reread, not a recomputation.
+    This cuts the lineage: a lost executor costs a reread, not a recomputation.  The files
+    have Bloom filters on the column ``bloom``, as large as their number of values asks for.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/bargainry/{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+    writer = (df.sortWithinPartitions(*sort) if sort else df).write
+    if bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,8 @@
 
 * memtables: the documents are dealt to memtables; each is flushed as a run, sorted by
   digest, with a Bloom filter on the digest in its Parquet files.  A run has a row per
-  digest and document id, with its number of rows.
+  digest and document id, with its number of rows.  ``find`` looks single digests up and
+  reads only the row groups whose filters and bounds let them pass.
 * compaction: the runs are merged to a row per digest with the identifier that survives
   and the size of the group.  It is an aggregation with map-side partial results, so a
   group with a third of all rows costs each task one row.
@@ -51,14 +52,19 @@ def flush(docs: DataFrame, key: str, text: str, digest: Callable[[Column], Colum
         .groupBy(F.pmod(F.xxhash64("id"), F.lit(memtables)).cast("int").alias("run"), "digest", "id")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
-    return materialize(rows, "run", "digest")
+    return materialize(rows, "run", "digest", bloom="digest")
 
 
 def compact(runs: DataFrame, keep: str = "smallest") -> DataFrame:
     """Level 1: a row per digest with the identifier to keep and the number of rows."""
     survivor = F.max("id") if keep == "largest" else F.min("id")
     merged = runs.groupBy("digest").agg(survivor.alias("keep"), F.sum("rows").alias("size"))
-    return materialize(merged, "digest")
+    return materialize(merged, "digest", bloom="digest")
+
+
+def find(index: DataFrame, digests: list[str]) -> DataFrame:
+    """The rows of a level of the index (``flush`` or ``compact``) with one of a few digests."""
+    return index.where(F.col("digest").isin(digests))
 
 
 def collisions(docs: DataFrame, text: str, level1: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -217,6 +218,16 @@ def test_exact_dedup_stage(docs, empty):
     assert exact_dedup.deduplicate(empty).count() == 0 and exact_dedup.decide(empty).count() == 0
 
 
+def test_exact_dedup_index(docs):
+    runs = exact_dedup.flush(docs, "doc_id", "text")
+    level1 = exact_dedup.compact(runs)
+    (row,) = exact_dedup.find(level1, [sha("one"), "absent"]).collect()
+    assert row.asDict() == {"digest": sha("one"), "keep": 9, "size": 2}
+    assert exact_dedup.find(runs, [sha("one")]).count() == 2
+    footers = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in level1.inputFiles()]
+    assert sum(f.num_rows for f in footers) == level1.count()
+
+
 def test_exact_dedup_shuffled_when_large(docs, monkeypatch):
     want = rows_of(exact_dedup.deduplicate(docs).select("doc_id", "text"))
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
