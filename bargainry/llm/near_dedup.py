@@ -269,7 +269,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("id"), node_of(F.col(text)).alias("node"))
     rows = materialize(rows.groupBy("id", "node").agg(F.count(F.lit(1)).alias("n")))
     named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    heads = named.groupBy("label").agg(F.min(F.struct("id", "node")).alias("head"), F.sum("n").alias("class_size"))
+    # written first, so that both sides of the join are exchanges and Spark can split a large class
+    heads = materialize(named.groupBy("label").agg(F.min(F.struct("id", "node")).alias("head"), F.sum("n").alias("class_size")))
     out = named.join(heads, "label").select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     named_id = lambda c: F.when(c != 2**63 - 1, c)
     return out.select(
