@@ -30,6 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import map_batches
+
 #: What \s matches in the file's patterns.
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -192,10 +194,10 @@ def _decoder(path: str, ids: str, out: str):
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Adds ``out``, the ids of the whole text.  ``out`` must not be a column yet."""
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), True))])
-    return docs.mapInArrow(_encoder(path, text, out), schema)
+    return map_batches(docs, _encoder(path, text, out), schema)
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds ``out``, the text that the ids stand for."""
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
-    return rows.mapInArrow(_decoder(path, ids, out), schema)
+    return map_batches(rows, _decoder(path, ids, out), schema)

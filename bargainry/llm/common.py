@@ -44,6 +44,12 @@ def materialize(df: DataFrame, *sort: str, bloom: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, function, schema, rows: int = 1000) -> DataFrame:
+    """mapInArrow in batches of ``rows``, which bounds what a task holds of long texts at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df.mapInArrow(function, schema)
+
+
 def text_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import task_count, text_or_empty
+from .common import map_batches, task_count, text_or_empty
 
 SMALLEST = 4
 PIECES = 64
@@ -182,5 +182,5 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and its edited text, and the likeness to that and the next."""
-    out = _neighbours(docs, key, text).mapInArrow(_compare, _SCHEMA)
+    out = map_batches(_neighbours(docs, key, text), _compare, _SCHEMA)
     return out.withColumnRenamed("id", key)

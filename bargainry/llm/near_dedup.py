@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, semi_by_size, text_or_empty
+from .common import map_batches, materialize, semi_by_size, text_or_empty
 from .words import WordHashes, mixed, runs, split
 
 SHINGLE = 5
@@ -177,7 +177,7 @@ class _Links:
     def gather(self, nodes: DataFrame) -> None:
         """The sets of the nodes that are candidates at all."""
         texts = semi_by_size(self.docs, nodes, ["node"]).dropDuplicates(["node"])
-        self.grams = materialize(texts.mapInArrow(_sets(self.shingle, self.weighted), "node binary, grams array<long>"))
+        self.grams = materialize(map_batches(texts, _sets(self.shingle, self.weighted), "node binary, grams array<long>"))
 
     def label(self, df: DataFrame, node: str, out: str) -> DataFrame:
         if self.labels is None:
@@ -241,7 +241,7 @@ def links(
 ) -> DataFrame:
     """(node, label) of every node that has a link; nodes are digests of texts (``node_of``)."""
     plain = docs.select(node_of(F.col(text)).alias("node"), text_or_empty(F.col(text)).alias("text"))
-    sketched = plain.mapInArrow(_banded(shingle, bands, rows, weighted), "node binary, bands array<long>")
+    sketched = map_batches(plain, _banded(shingle, bands, rows, weighted), "node binary, bands array<long>")
     cells = materialize(sketched.groupBy("node").agg(F.first("bands").alias("bands"))).select("node", F.explode("bands").alias("key"))
     shared = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialize(cells.join(shared, "key"))

@@ -37,12 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_or_empty
+from .common import map_batches, text_or_empty
 from .words import WordHashes, runs, sliding, split
 
 WIDTH = 13
 SEED = 5
 SHARD_BYTES = 4_000_000
+#: Rows of a batch; seeds that a batch shares are settled in it.
+BATCH = 10_000
 _LAST = 2**63 - 1
 
 
@@ -222,9 +224,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    seeds = plain.select("id", "text").mapInArrow(_seeds(width), "seed long, id long, settled boolean")
+    seeds = map_batches(plain.select("id", "text"), _seeds(width), "seed long, id long, settled boolean", BATCH)
     meeting = F.when(F.col("settled"), F.xxhash64("id", "seed")).otherwise(F.col("seed"))
-    recurring = seeds.repartition(meeting).sortWithinPartitions("settled", "seed").mapInArrow(_recurring, "seed long, id long")
+    recurring = map_batches(seeds.repartition(meeting).sortWithinPartitions("settled", "seed"), _recurring, "seed long, id long", BATCH)
     sharded = plain.withColumn("shard", shard)
     grouped = sharded.groupBy("shard")
     windows = grouped.cogroup(recurring.withColumn("shard", shard).groupBy("shard")).applyInArrow(_confirm(width), "window long, shard int, low long, high long")

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_batches
+
 SAMPLE = 8_000
 STEMS = (4, 5, 6, 7)
 LEAST = 3
@@ -119,4 +121,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", severity: str = "se
                 yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, severity, grade])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(severity, T.DoubleType()), T.StructField(grade, T.IntegerType())])
-    return docs.mapInArrow(rate, schema)
+    return map_batches(docs, rate, schema)
