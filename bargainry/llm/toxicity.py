@@ -66,17 +66,18 @@ def fit_rows(texts: list[str | None], grades: list[int], l1: float = L1, rounds:
     if len(levels) < 2:
         raise ValueError("ordinal regression needs two grades or more")
     number: dict[str, int] = {}
-    rows = [np.array(sorted(number.setdefault(w, len(number)) for w in tokens(t)), np.int32) for t in texts]
-    col = np.concatenate(rows)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    held = np.bincount(col, minlength=len(number)) >= least
-    row, col = row[held[col]], col[held[col]]
+    parts = [np.array(sorted(number.setdefault(w, len(number)) for w in tokens(t)), np.int32) for t in texts]
+    lengths = [len(p) for p in parts]
+    col = np.concatenate(parts)
+    del parts
+    kept = (np.bincount(col, minlength=len(number)) >= least)[col]
+    row, col = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[kept], col[kept]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     edges = np.searchsorted(col, np.arange(len(number) + 1))
     above = np.searchsorted(levels, grades)[:, None] > np.arange(len(levels) - 1)[None, :]
     rate = np.clip(above.mean(0), 1e-3, 1 - 1e-3)
-    w, t, s = np.zeros(len(number)), np.log((1 - rate) / rate), np.zeros(len(rows))
+    w, t, s = np.zeros(len(number)), np.log((1 - rate) / rate), np.zeros(len(lengths))
     for _ in range(rounds):
         moved = 0.0
         pull = (_sigmoid(s[:, None] - t) - above).sum(1)
