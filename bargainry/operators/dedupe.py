@@ -55,7 +55,7 @@ def merge(deals: DataFrame) -> DataFrame:
         "price_was": first("price_was"),
         "coupon_code": first("coupon_code"),
         "votes": F.sum("votes"),
-        "also_seen_on": F.array_sort(F.array_distinct(F.flatten(F.collect_list(sources)))),
+        "also_seen_on": F.array_sort(F.array_distinct(F.flatten(F.collect_set(sources)))),
     }
     rows = deals.groupBy("cluster").agg(F.min_by(F.struct(*own), rank).alias("__p"), *[m.alias(f"__{c}") for c, m in merged.items() if c in own], F.count(F.lit(1)).alias("merged_rows"))
     return rows.select(*[(F.col(f"__{c}") if c in merged else F.col(f"__p.{c}")).alias(c) for c in own], "merged_rows")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.scalars import half_up, heat, rounded_median
+from ..functions.scalars import half_up, heat
 from ..schemas import COMPARABLE
 
 MARKET_LEAST, HISTORY_LEAST, NEAR_LOW, ANCHOR = 2, 3, 1.02, 1.25
+#: Prices that share all but these bits are summed together.
+STEP_BITS = 12
 
 
 def best_prices(deals: DataFrame) -> DataFrame:
@@ -17,46 +20,90 @@ def best_prices(deals: DataFrame) -> DataFrame:
     return priced.groupBy("product_key", "merchant_id").agg(F.min("price_now").alias("best_price"))
 
 
+def ladder(prices: DataFrame) -> DataFrame:
+    """product_key, price, n (the summed ``weight``), below (the weight at lower prices), total.
+
+    A product's prices are summed in ranges of 2**STEP_BITS, each a group of its own with a row
+    per price at most, and the totals of the ranges (a row each) give each range its start.
+    """
+    steps = prices.groupBy("product_key", "price").agg(F.sum("weight").alias("n")).withColumn("__step", F.shiftright("price", STEP_BITS))
+    within = Window.partitionBy("product_key", "__step").orderBy("price").rowsBetween(Window.unboundedPreceding, -1)
+    product = Window.partitionBy("product_key")
+    before = product.orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)
+    starts = steps.groupBy("product_key", "__step").agg(F.sum("n").alias("__n"))
+    starts = starts.select("product_key", "__step", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(product).alias("total"))
+    rows = steps.withColumn("__inner", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, ["product_key", "__step"])
+    return rows.select("product_key", "price", "n", (F.col("__inner") + F.col("__start")).alias("below"), "total")
+
+
+def markets(best: DataFrame) -> DataFrame:
+    """A row per product: the number of its best prices, the two lowest and the three in the middle."""
+    steps = ladder(best.select("product_key", F.col("best_price").alias("price"), F.lit(1).alias("weight")))
+    half = F.floor(F.col("total") / 2)
+    at = lambda rank: F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("n")), F.col("price")))
+    places = {"__lowest": F.lit(0), "__second": F.lit(1), "__mid0": half - 1, "__mid1": half, "__mid2": half + 1}
+    return steps.groupBy("product_key").agg(F.max("total").alias("__best"), *[at(rank).alias(c) for c, rank in places.items()])
+
+
 def competitors(deals: DataFrame) -> DataFrame:
-    """The deals with ``rivals``: best prices of the product at other merchants.
+    """The deals with the number, median and lowest of the product's best prices above 0 at other merchants.
 
-    No self-join: a product's best prices (one per merchant) are gathered once and each deal
-    leaves its own merchant out.
+    No self-join: leaving one price out moves the middle by one place at most, so a row per
+    product and the own merchant's best price tell the median of the others.
     """
-    by_product = best_prices(deals).groupBy("product_key").agg(F.collect_list(F.struct("merchant_id", "best_price")).alias("__best"))
-    others = F.filter("__best", lambda x: ~x["merchant_id"].eqNullSafe(F.col("merchant_id")))
-    prices = F.transform(others, lambda x: x["best_price"])
-    return deals.join(by_product, "product_key", "left").withColumn("rivals", F.coalesce(prices, F.array().cast("array<bigint>"))).drop("__best")
+    best = best_prices(deals).where("best_price > 0")
+    own = best.select("product_key", "merchant_id", F.col("best_price").alias("__own"))
+    df = deals.join(markets(best), "product_key", "left").join(own, ["product_key", "merchant_id"], "left")
+    mine, without = F.col("__own"), F.col("__own").isNotNull()
+    # the price at a place once the own one is out: that place's if the own is higher, else the next one's
+    left = lambda low, high: F.when(mine > F.col(low), F.col(low)).otherwise(F.col(high))
+    even = F.col("__best") % 2 == 0
+    low = F.when(without, left("__mid0", "__mid1")).when(even, F.col("__mid0")).otherwise(F.col("__mid1"))
+    high = F.when(without & even, left("__mid0", "__mid1")).when(without, left("__mid1", "__mid2")).otherwise(F.col("__mid1"))
+    return df.withColumns(
+        {
+            "rivals": (F.coalesce("__best", F.lit(0)) - without.cast("int")).cast("int"),
+            "rival_median": half_up((low + high) / 2),
+            "rival_low": F.when(without, left("__lowest", "__second")).otherwise(F.col("__lowest")),
+        }
+    ).drop("__best", "__own", "__lowest", "__second", "__mid0", "__mid1", "__mid2")
+
+
+def past(deals: DataFrame, points: DataFrame) -> DataFrame:
+    """The deals with the product's recorded prices above 0: number, lowest, how many below the deal's; and since."""
+    whole = points.groupBy("product_key").agg(F.count_if(F.col("price") > 0).alias("points"), F.min(F.when(F.col("price") > 0, F.col("price"))).alias("prior_low"), F.min("observed_at").alias("since"))
+    recorded = points.where("price > 0").groupBy("product_key", "price").agg(F.count(F.lit(1)).alias("weight"))
+    asked = deals.where("price_now is not null and product_key is not null").select("product_key", F.col("price_now").alias("price")).distinct()
+    steps = ladder(recorded.unionByName(asked.withColumn("weight", F.lit(0).cast("long"))))
+    below = steps.select("product_key", F.col("price").alias("price_now"), "below")
+    return deals.join(whole, "product_key", "left").join(below, ["product_key", "price_now"], "left")
 
 
 def histories(points: DataFrame) -> DataFrame:
-    """product_key, prices in order of time, since (the first observation)."""
+    """product_key, prices in order of time, since (the first observation); a row holds all prices of a product."""
     rows = points.groupBy("product_key").agg(F.array_sort(F.collect_list(F.struct("observed_at", "price"))).alias("h"), F.min("observed_at").alias("since"))
     return rows.select("product_key", F.transform("h", lambda x: x["price"]).alias("history"), "since")
 
 
 def assess(facts: DataFrame, now: Column) -> DataFrame:
-    """Adds the quality columns to deals with rivals, history and since."""
-    price, none = F.col("price_now"), F.array().cast("array<bigint>")
-    comparable = F.col("product_key_strength").isin(*COMPARABLE)
-    rivals = F.when(comparable, F.filter("rivals", lambda p: p > 0)).otherwise(none)
-    prior = F.filter(F.coalesce("history", none), lambda p: p > 0)
-    df = facts.withColumn("__rivals", rivals).withColumn("__prior", prior)
-    market = F.when(F.size("__rivals") >= MARKET_LEAST, rounded_median(F.col("__rivals")))
-    known = F.size("__prior") >= HISTORY_LEAST
-    below = F.size(F.filter("__prior", lambda p: p < price))
+    """Adds the quality columns to deals with the facts of ``competitors`` and ``past``."""
+    price, none = F.col("price_now"), F.lit(0)
+    comparable = F.coalesce(F.col("product_key_strength").isin(*COMPARABLE), F.lit(False))
+    rivals = F.when(comparable, F.col("rivals")).otherwise(none)
+    market = F.when(rivals >= MARKET_LEAST, F.col("rival_median"))
+    known = F.coalesce("points", none) >= HISTORY_LEAST
     days = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("since").cast("timestamp"))) / 86_400_000_000
     priced = price.isNotNull()
-    df = df.withColumn("market_price", F.when(priced, market))
+    df = facts.withColumn("market_price", F.when(priced, market))
     df = df.withColumns(
         {
             "market_discount_pct": F.when(F.col("market_price") > 0, half_up((F.col("market_price") - price) / F.col("market_price") * 100, 1)),
-            "__low": F.when(priced & known, F.array_min("__prior")),
-            "price_rank_pct": F.when(priced & known, half_up(below / F.size("__prior") * 100, 1)),
-            "__cheapest": F.array_min("__rivals"),
+            "__low": F.when(priced & known, F.col("prior_low")),
+            "price_rank_pct": F.when(priced & known, half_up(F.col("below") / F.col("points") * 100, 1)),
+            "__cheapest": F.when(comparable, F.col("rival_low")),
             "history_days": F.coalesce(F.greatest(F.lit(0.0), days), F.lit(0.0)),
             "claim_suspect": F.coalesce(F.col("price_was") > F.col("market_price") * ANCHOR, F.lit(False)),
-            "competitors": F.size("__rivals"),
+            "competitors": rivals,
         }
     )
     df = df.withColumn("observed_low", F.when(F.col("__low").isNotNull(), F.least("__low", price)))
@@ -73,7 +120,7 @@ def assess(facts: DataFrame, now: Column) -> DataFrame:
             .when(F.col("market_discount_pct").isNotNull(), "market-price")
             .otherwise("unverified"),
         }
-    ).drop("__rivals", "__prior", "__low", "__cheapest")
+    ).drop("__low", "__cheapest")
 
 
 def trusted_pct() -> Column:
@@ -103,11 +150,10 @@ def quality_note() -> Column:
 
 def verify(deals: DataFrame, points: DataFrame, now: Column) -> DataFrame:
     """Deals with verdicts, notes and heat, from the batch's own rivals and the price points."""
-    facts = competitors(deals).join(histories(points), "product_key", "left")
-    out = assess(facts, now)
+    out = assess(past(competitors(deals), points), now)
     score = heat(F.col("votes"), trusted_pct(), F.col("posted_at"), F.col("source"), now)
     out = out.withColumn("quality_note", quality_note()).withColumn("heat", F.when(F.col("verdict") == "inflated-anchor", F.least(F.lit(25.0), score)).otherwise(score))
-    return out.drop("rivals", "history", "since")
+    return out.drop("rivals", "rival_median", "rival_low", "points", "prior_low", "since", "below")
 
 
 def summary(verified: DataFrame) -> DataFrame:
