@@ -11,7 +11,8 @@ words and stems that ``LEAST`` of these texts or more hold.  Grades are whatever
 have; two grades give one threshold.  Scoring reads every whole text.
 
 Defined results: a null or empty text scores by the thresholds alone; labels that are null
-or without a document are ignored, as are repeated labels of one id after the largest grade;
+or without a document are ignored and take no place in the sample, as are repeated labels of
+one id after the largest grade; of documents that share an id the fit reads the smallest text;
 labels with fewer than two grades end the fit with an error; empty documents give no rows;
 all columns of the documents are kept by ``score``.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches
+from .common import map_batches, materialize
 
 SAMPLE = 8_000
 STEMS = (4, 5, 6, 7)
@@ -60,28 +61,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit_rows(texts: list[str | None], grades: list[int], l1: float = L1, rounds: int = 40, least: int = LEAST) -> Model:
-    """Coordinate descent on texts in memory; their number has to be bounded by the caller."""
+def _descend(row: np.ndarray, col: np.ndarray, n: int, grades: list[int], l1: float, rounds: int, least: int) -> tuple[np.ndarray, list[float]]:
+    """Weights of the ``n`` tokens and the thresholds; ``row`` holds token ``col``."""
     levels = sorted(set(grades))
     if len(levels) < 2:
         raise ValueError("ordinal regression needs two grades or more")
-    number: dict[str, int] = {}
-    parts = [np.array(sorted(number.setdefault(w, len(number)) for w in tokens(t)), np.int32) for t in texts]
-    lengths = [len(p) for p in parts]
-    col = np.concatenate(parts)
-    del parts
-    kept = (np.bincount(col, minlength=len(number)) >= least)[col]
-    row, col = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[kept], col[kept]
+    kept = (np.bincount(col, minlength=n) >= least)[col]
+    row, col = row[kept], col[kept]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    edges = np.searchsorted(col, np.arange(len(number) + 1))
+    edges = np.searchsorted(col, np.arange(n + 1))
     above = np.searchsorted(levels, grades)[:, None] > np.arange(len(levels) - 1)[None, :]
     rate = np.clip(above.mean(0), 1e-3, 1 - 1e-3)
-    w, t, s = np.zeros(len(number)), np.log((1 - rate) / rate), np.zeros(len(lengths))
+    w, t, s = np.zeros(n), np.log((1 - rate) / rate), np.zeros(len(grades))
     for _ in range(rounds):
         moved = 0.0
         pull = (_sigmoid(s[:, None] - t) - above).sum(1)
-        gradient = np.bincount(col, weights=pull[row], minlength=len(number))
+        gradient = np.bincount(col, weights=pull[row], minlength=n)
         for j in np.flatnonzero((w != 0) | (np.abs(gradient) > l1)).tolist():
             holders = row[edges[j] : edges[j + 1]]
             chance = _sigmoid(s[holders, None] - t)
@@ -96,18 +92,54 @@ def fit_rows(texts: list[str | None], grades: list[int], l1: float = L1, rounds:
             t = np.maximum.accumulate(t + np.clip((chance - above).sum(0) / ((chance * (1 - chance)).sum(0) + 1e-3), -1, 1))
         if moved < 1e-3:
             break
+    return w, [float(x) for x in t]
+
+
+def fit_rows(texts: list[str | None], grades: list[int], l1: float = L1, rounds: int = 40, least: int = LEAST) -> Model:
+    """Coordinate descent on texts in memory; their number has to be bounded by the caller."""
+    number: dict[str, int] = {}
+    parts = [np.array([number.setdefault(w, len(number)) for w in sorted(tokens(t))], np.int32) for t in texts]
+    row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+    w, t = _descend(row, np.concatenate([*parts, np.array([], np.int32)]), len(number), grades, l1, rounds, least)
     names = list(number)
-    return Model({names[j]: float(w[j]) for j in np.flatnonzero(w)}, [float(x) for x in t])
+    return Model({names[j]: float(w[j]) for j in np.flatnonzero(w)}, t)
+
+
+def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, 100):
+            part = batch.slice(first, 100)
+            words = pa.array([sorted(tokens(t)) for t in part.column("text").to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("grade"), words], ["id", "grade", "words"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade: str, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, l1: float = L1) -> Model:
-    """Fit on at most ``sample`` labelled documents, in the order of a hash of the id."""
+    """Fit on at most ``sample`` labelled documents, in the order of a hash of the id.
+
+    The texts become words in tasks; the driver gets a grade and hashes of words for each
+    document of the sample, and the words of the weights.
+    """
     graded = labels.where(F.col(grade).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(F.col(grade)).cast("int").alias("grade"))
-    chosen = graded.withColumn("h", F.xxhash64("id", F.lit("fit"))).orderBy("h", "id").limit(sample).select("id", "grade")
     body = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    rows = body.join(F.broadcast(chosen), "id").collect()  # ``sample`` labels at most
-    rows.sort(key=lambda r: (r["id"], r["text"] or ""))
-    return fit_rows([r["text"] for r in rows], [r["grade"] for r in rows], l1)
+    graded = graded.join(body.select("id").distinct(), "id", "left_semi")
+    chosen = graded.withColumn("h", F.xxhash64("id", F.lit("fit"))).orderBy("h", "id").limit(sample).select("id", "grade")
+    found = body.join(F.broadcast(chosen), "id").groupBy("id", "grade").agg(F.min("text").alias("text"))  # ``sample`` labels at most
+    schema = T.StructType([found.schema["id"], found.schema["grade"], T.StructField("words", T.ArrayType(T.StringType()))])
+    rows = materialize(map_batches(found, _tokenized, schema))
+    hashed = F.transform("words", lambda w: F.xxhash64(w))
+    got = rows.orderBy("id").select("grade", hashed.alias("words")).toArrow()
+    grades, words = got.column("grade").to_pylist(), got.column("words").combine_chunks()
+    lengths = words.value_lengths().to_numpy(zero_copy_only=False)
+    values = words.flatten().to_numpy(zero_copy_only=False)
+    del got, words
+    names, col = np.unique(values, return_inverse=True)
+    del values
+    row = np.repeat(np.arange(len(grades), dtype=np.int32), lengths)
+    w, t = _descend(row, col.astype(np.int32), len(names), grades, l1, 40, LEAST)
+    weights = {int(names[j]): float(w[j]) for j in np.flatnonzero(w)}
+    heavy = rows.select(F.explode("words").alias("word")).withColumn("h", F.xxhash64("word"))
+    known = docs.sparkSession.createDataFrame([(h,) for h in weights], "h long")
+    return Model({r["word"]: weights[r["h"]] for r in heavy.join(F.broadcast(known), "h").distinct().collect()}, t)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", severity: str = "severity", grade: str = "grade") -> DataFrame:
