@@ -13,7 +13,8 @@ have; two grades give one threshold.  Scoring reads every whole text.
 Defined results: a null or empty text scores by the thresholds alone; labels that are null
 or without a document are ignored and take no place in the sample, as are repeated labels of
 one id after the largest grade; of documents that share an id the fit reads the smallest text;
-labels with fewer than two grades end the fit with an error; empty documents give no rows;
+labels with fewer than two grades end the fit with an error, unless there are no documents:
+then the model is empty, as is what it scores;
 all columns of the documents are kept by ``score``.
 """
 
@@ -128,6 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str, key: str = "doc_id", tex
     rows = materialize(map_batches(found, _tokenized, schema))
     hashed = F.transform("words", lambda w: F.xxhash64(w))
     got = rows.orderBy("id").select("grade", hashed.alias("words")).toArrow()
+    if not got.num_rows and docs.isEmpty():
+        return Model({}, [])
     grades, words = got.column("grade").to_pylist(), got.column("words").combine_chunks()
     lengths = words.value_lengths().to_numpy(zero_copy_only=False)
     values = words.flatten().to_numpy(zero_copy_only=False)

@@ -1,6 +1,9 @@
 """What the fit of toxicity reads."""
 
-from bargainry.llm import toxicity
+import corpus_pipeline
+import pytest
+
+from bargainry.llm import queries, toxicity
 
 from .test_operators import labelled
 
@@ -29,3 +32,19 @@ def test_labels_without_a_document_take_no_place(spark):
     docs, labels = tables(spark, rows)
     more = labels.unionByName(spark.range(10_000, 40_000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic"))
     assert toxicity.fit(docs, more, "toxic", sample=200) == toxicity.fit(docs, labels, "toxic", sample=200)
+
+
+def test_all_stages_on_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tables(spark, labelled(20, 4))[1].write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert queries.op8_toxicity(spark, str(tmp_path)).count() == 0
+
+
+def test_documents_without_labels_are_an_error(spark):
+    docs, labels = tables(spark, labelled(20, 4))
+    with pytest.raises(ValueError):
+        toxicity.fit(docs, labels.where("doc_id < 0"), "toxic")
