@@ -12,10 +12,12 @@ whose words also start in a document with a smaller id; windows are judged on th
    seeds and sends, for each, the smallest and largest id among its documents; the smallest
    over all shards owns the window.
 3. Automata.  A shard gets the windows that some document of its own holds and a smaller id
-   owns.  Where they first stand side by side they make passages.  A passage is cut into
+   owns, and finds them by looking up the hash of every window of its documents.  Where they
+   first stand side by side they make passages.  A passage is cut into
    pieces of (width + 1) / 2 words, so that each of its windows holds a whole piece, and the
-   pieces are compiled into one Aho-Corasick automaton.  The documents stream through it word
-   by word; a window is found where a piece occurs and the window's hash around it fits.
+   pieces are compiled into one Aho-Corasick automaton.  The documents with a found
+   window stream through it word by word; as each such window holds a whole piece, this
+   confirms what the lookup found and locates nothing more.
 
 What a shard holds is bounded by ``SHARD_BYTES`` of text (or one document); the number of
 shards follows the size of the input.
