@@ -3,8 +3,9 @@
 A rolling hash of 8 bytes runs over the UTF-8 text; where it falls below 2**32 / block size
 a piece ends.  Each piece gives two characters of the signature, from a hash of all its
 windows.  The block size is the smallest power of two times ``SMALLEST`` at which the text
-has about ``PIECES`` pieces at most, and the fingerprint holds the signatures at that size
-and at twice it:
+has about ``PIECES`` pieces at most and none holds more than half of it (in repetitive texts
+the pieces of a smaller size are then merged in pairs, each time for twice the size), and
+the fingerprint holds the signatures at that size and at twice it:
 
     <block size>:<signature>:<signature at twice the block size>
 
@@ -55,6 +56,11 @@ def _signature(windows: np.ndarray, sums: np.ndarray, ends: np.ndarray) -> str:
     return "".join(DIGITS[p >> 6] + DIGITS[p & 63] for p in pieces.tolist())
 
 
+def _sparse(ends: np.ndarray, size: int) -> bool:
+    """Few pieces, or one that holds more than half of the text."""
+    return len(ends) < PIECES // 4 or int(np.diff(ends, prepend=0, append=size).max()) > size // 2
+
+
 def fingerprint(text: bytes) -> str:
     if not text:
         return f"{SMALLEST}::"
@@ -66,12 +72,18 @@ def fingerprint(text: bytes) -> str:
     while len(ends) > 2 * PIECES and block < 2**30:
         block *= 2
         ends = ends[windows[ends] < 2**32 // block]
-    while len(ends) < PIECES // 4 and block > SMALLEST:
+    while block > SMALLEST and _sparse(ends, len(text)):
         block //= 2
         ends = np.flatnonzero(windows < np.uint32(2**32 // block))
+    if len(text) > 2 * PIECES and _sparse(ends, len(text)):
+        ends = np.arange(len(text))  # too few different windows for any to be chosen by its hash
+    merged = len(ends) > 2 * PIECES
+    while len(ends) > 2 * PIECES:
+        block *= 2
+        ends = ends[1::2]
     spread = windows.astype(np.uint64)
     sums = np.cumsum((spread * spread + spread) * _PIECE)
-    coarse = ends[windows[ends] < 2**32 // (2 * block)]
+    coarse = ends[1::2] if merged else ends[windows[ends] < 2**32 // (2 * block)]
     return f"{block}:{_signature(windows, sums, ends)}:{_signature(windows, sums, coarse)}"
 
 
