@@ -8,27 +8,33 @@ whose words also start in a document with a smaller id; windows are judged on th
    fifth word.  A task first looks for seeds that its own batch of documents shares: those
    are settled there, and one row stands for all of them.  The rest meet in one shuffle by
    seed; a seed with two rows or more recurs.
-2. Confirmation.  Documents are dealt to shards.  A shard hashes the windows with recurring
-   seeds and sends, for each, the smallest and largest id among its documents; the smallest
-   over all shards owns the window.
-3. Automata.  A shard gets the windows that some document of its own holds and a smaller id
-   owns, and finds them by looking up the hash of every window of its documents.  Where they
-   first stand side by side they make passages.  A passage is cut into
-   pieces of (width + 1) / 2 words, so that each of its windows holds a whole piece, and the
-   pieces are compiled into one Aho-Corasick automaton.  The documents with a found
-   window stream through it word by word; as each such window holds a whole piece, this
-   confirms what the lookup found and locates nothing more.
-
-What a shard holds is bounded by ``SHARD_BYTES`` of text (or one document); the number of
-shards follows the size of the input.
+2. Confirmation.  Documents are dealt to shards.  A shard names its windows with recurring
+   seeds by 96 bits of two hashes and sends a row for each: the smallest id among its
+   documents that have it, the place there, and whether others of them have it too.  The
+   smallest id over all shards owns the window.
+3. Automata.  A shard gets the places of the windows that it has to remove somewhere: those
+   that some document of its own holds and a smaller id owns.  It reads the words there;
+   windows that stand side by side make a phrase.  A phrase is cut into pieces of
+   (width + 1) / 2 words, so that each of its windows holds a whole piece, and the pieces are
+   compiled into one Aho-Corasick automaton.  All documents of the shard stream through it.
+   Where it reports a piece, the windows around it are compared, word for word, with the
+   windows that the piece was cut from.  Nothing else finds an occurrence.
+
+In a shard, windows are the same only if their words are.  Between shards they are the same
+if 96 bits are: with 10^13 windows some 10^-3 pairs of different windows can be expected to
+share them; such a window would stay.  What a shard holds is bounded by ``SHARD_BYTES`` of text (or one document); the
+number of shards follows the size of the input.  A window that is in every shard meets in one
+task with a row of 36 bytes a shard, which Spark spills.
 
 Defined results: a null text has no words; a null id comes after all ids, so its windows go
 if any id holds them and it owns none over an id; rows that share an id do not count as
-smaller than each other; empty tables give no rows; further columns are ignored.
+smaller than each other; texts of any length are read whole, and a shard grows to the longest
+one; empty tables give no rows; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import compress
 
@@ -43,17 +49,26 @@ from .common import map_batches, text_or_empty
 from .words import WordHashes, runs, sliding, split
 
 WIDTH = 13
-SEED = 5
+SEED = 6
 SHARD_BYTES = 4_000_000
 #: Rows of a batch; seeds that a batch shares are settled in it.
 BATCH = 10_000
 _LAST = 2**63 - 1
+#: The base of the second hash.
+_CHECK = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _arrays(table: pa.Table | pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [table.column(n).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(n).to_numpy() for n in names]
 
 
+def _seed_of(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The seed of each window: the least hash among its runs of ``SEED`` words, or the one of a narrow window."""
+    size = min(SEED, width)
+    grams = runs(hashes, size)
+    return sliding(grams, width - size + 1) if len(grams) > width - size else grams[:0]
+
+
 def _seeds(width: int):
     """Rows (seed, id, settled) of a batch; see step 1."""
 
@@ -62,11 +77,7 @@ def _seeds(width: int):
         for batch in batches:
             ids, found = batch.column("id").to_pylist(), []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
-                grams = runs(words.of(split(text)), SEED)
-                if len(grams) <= width - SEED:
-                    found.append(np.empty(0, np.uint64))
-                else:
-                    found.append(np.unique(sliding(grams, width - SEED + 1)))
+                found.append(np.unique(_seed_of(words.of(split(text)), width)))
             seed = np.concatenate([*found, np.empty(0, np.uint64)])
             owner = np.repeat(np.array(ids, np.int64), [len(f) for f in found])
             order = np.argsort(seed, kind="stable")
@@ -115,93 +126,109 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], ["seed", "id"])
 
 
+def _windows(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window, of 64 and of 32 bits."""
+    return runs(hashes, width), (runs(hashes, width, _CHECK) >> np.uint64(32)).astype(np.uint32)
+
+
 def _confirm(width: int):
-    """(window, shard, low, high) for the windows of a shard's documents with recurring seeds."""
+    """(window, check, low, at, more) for the windows of a shard's documents with recurring seeds."""
 
     def windows(docs: pa.Table, seeds: pa.Table) -> pa.Table:
-        words, found, owners = WordHashes(), [], []
+        words, parts = WordHashes(), []
         seed, owner = _arrays(seeds, "seed", "id")
         order = np.argsort(owner, kind="stable")
         seed, owner = seed[order].view(np.uint64), owner[order]
         if docs.num_rows and len(seed):
             for i, text in zip(docs.column("id").to_pylist(), docs.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
-                low, high = np.searchsorted(owner, [i, i + 1] if i < _LAST else [i, i], "left")
-                high = len(owner) if i == _LAST else high
+                low, high = np.searchsorted(owner, i, "left"), np.searchsorted(owner, i, "right")
                 if low == high:
                     continue
                 hashes = words.of(split(text))
-                grams = runs(hashes, SEED)
-                if len(grams) > width - SEED:
-                    hit = np.isin(sliding(grams, width - SEED + 1), seed[low:high])
-                    own = np.unique(runs(hashes, width)[hit])
-                    found.append(own)
-                    owners.append(np.full(len(own), i, np.int64))
-        window = np.concatenate([*found, np.empty(0, np.uint64)])
-        ids = np.concatenate([*owners, np.empty(0, np.int64)])
-        order = np.lexsort((ids, window))
-        window, ids = window[order], ids[order]
-        first = np.append(True, window[1:] != window[:-1])[: len(window)]
-        last = np.append(window[1:] != window[:-1], True)[: len(window)]
-        shard = docs.column("shard")[0].as_py() if docs.num_rows else 0
-        return pa.table({"window": window[first].view(np.int64), "shard": np.full(first.sum(), shard, np.int32), "low": ids[first], "high": ids[last]})
+                hit = np.flatnonzero(np.isin(_seed_of(hashes, width), seed[low:high]))
+                window, check = _windows(hashes, width)
+                parts.append((window[hit], check[hit], np.full(len(hit), i, np.int64), hit.astype(np.int32)))
+        kinds = (np.uint64, np.uint32, np.int64, np.int32)
+        window, check, ids, at = (np.concatenate([*(p[n] for p in parts), np.empty(0, kind)]) for n, kind in enumerate(kinds))
+        order = np.lexsort((at, ids, check, window))
+        window, check, ids, at = window[order], check[order], ids[order], at[order]
+        same = (window[1:] == window[:-1]) & (check[1:] == check[:-1])
+        first = np.flatnonzero(np.append(True, ~same)[: len(window)])
+        last = np.flatnonzero(np.append(~same, True)[: len(window)])
+        return pa.table(
+            {"window": window[first].view(np.int64), "check": check[first].view(np.int32), "low": ids[first], "at": at[first], "more": ids[last] > ids[first]}
+        )
 
     return windows
 
 
+def _phrases(parted: list[list[bytes]], ids: list[int], wanted: pa.Table, width: int, numbers: dict[bytes, int]):
+    """The automaton of pieces, and for each piece the windows around it with their owners."""
+    piece = (width + 1) // 2
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    tables: list[dict[tuple, int]] = []
+    low, at, check, owner = _arrays(wanted, "low", "at", "check", "owner")
+    order = np.lexsort((at, low))
+    low, at, check, owner = low[order], at[order], check[order].view(np.uint32), owner[order]
+    hashes = WordHashes()
+    repeated = {i for i, n in Counter(ids).items() if n > 1}
+    for words, i in zip(parted, ids, strict=True):
+        begin, end = np.searchsorted(low, i, "left"), np.searchsorted(low, i, "right")
+        places, owners = at[begin:end], owner[begin:end]
+        if i in repeated and begin < end:  # the places are those of one of the rows that share the id
+            known = _windows(hashes.of(words), width)[1]
+            fits = places < len(known)
+            fits[fits] = known[places[fits]] == check[begin:end][fits]
+            places, owners = places[fits], owners[fits]
+        if not len(places):
+            continue
+        for stretch, owned in zip(*(np.split(x, np.flatnonzero(np.diff(places) != 1) + 1) for x in (places, owners)), strict=True):
+            start = int(stretch[0])
+            phrase = tuple([numbers.setdefault(w, len(numbers) + 1) for w in words[start : start + len(stretch) + width - 1]])
+            for s, who in enumerate(owned.tolist()):
+                cut = -(-s // piece) * piece
+                if s == 0 or s % piece == 1:
+                    key = phrase[cut : cut + piece]
+                    n = automaton.get(key, len(tables))
+                    if n == len(tables):
+                        automaton.add_word(key, n)
+                        tables.append({})
+                    table = tables[n]
+                window = phrase[s : s + width]
+                table[window] = min(who, table.get(window, who))
+    return automaton, tables
+
+
 def _remove(width: int):
     """Step 3 for one shard."""
     piece = (width + 1) // 2
 
     def remove(docs: pa.Table, wanted: pa.Table) -> pa.Table:
-        window, owner = _arrays(wanted, "window", "owner")
-        window = window.view(np.uint64)
-        order = np.argsort(window)
-        window, owner = window[order], owner[order]
-        hashes_of = WordHashes()
         ids = docs.column("id").to_pylist()
         parted = [split(t) for t in docs.column("text").cast(pa.large_binary()).to_pylist()]
         numbers: dict[bytes, int] = {}
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        placed = np.zeros(len(window), bool)
-        holders: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n, words in enumerate(parted if len(window) else []):
-            if len(words) < width:
-                continue
-            own = runs(hashes_of.of(words), width)
-            at = np.minimum(np.searchsorted(window, own), len(window) - 1)
-            hits = np.flatnonzero(window[at] == own)
-            if not len(hits):
-                continue
-            which = at[hits]
-            holders[n] = hits, which
-            # passages: stretches of windows that no document before has placed
-            _, first = np.unique(which, return_index=True)
-            new = np.sort(first[~placed[which[first]]])
-            placed[which] = True
-            starts = hits[new]
-            for stretch in np.split(starts, np.flatnonzero(np.diff(starts) != 1) + 1) if len(starts) else []:
-                for begin in range(int(stretch[0]), int(stretch[-1]) + width - piece + 1, piece):
-                    automaton.add_word(tuple([numbers.setdefault(x, len(numbers) + 1) for x in words[begin : begin + piece]]), 1)
-        if holders:
+        automaton, tables = _phrases(parted, ids, wanted, width, numbers)
+        if tables:
             automaton.make_automaton()
-        kept, removed = [], []
-        for n, words in enumerate(parted):
-            gone = 0
-            if n in holders:
-                hits, which = holders[n]
-                number = numbers.get
-                ends = np.fromiter((e for e, _ in automaton.iter(tuple([number(x, 0) for x in words]))), np.int64)
-                # an occurrence lies within the window that it confirms
-                at = np.searchsorted(ends, hits + piece - 1)
-                sure = np.append(ends, _LAST)[at] < hits + width
-                starts = hits[sure & (owner[which] < ids[n])]
-                if len(starts):
-                    edges = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edges, starts, 1)
-                    np.add.at(edges, starts + width, -1)
-                    stay = np.cumsum(edges[:-1]) == 0
-                    gone = len(words) - int(stay.sum())
-                    words = list(compress(words, stay.tolist()))
+        kept, removed, number = [], [], numbers.get
+        for i, words in zip(ids, parted, strict=True):
+            gone, starts = 0, []
+            if tables and len(words) >= width:
+                told = tuple([number(w, 0) for w in words])
+                last = len(told) - width
+                for end, n in automaton.iter(told):
+                    table, begin = tables[n], end - piece + 1
+                    for s in range(max(0, end - width + 1), min(begin, last) + 1):
+                        if table.get(told[s : s + width], i) < i:
+                            starts.append(s)
+            if starts:
+                places = np.unique(np.array(starts))
+                edges = np.zeros(len(words) + 1, np.int64)
+                edges[places] += 1
+                edges[places + width] -= 1
+                stay = np.cumsum(edges[:-1]) == 0
+                gone = len(words) - int(stay.sum())
+                words = list(compress(words, stay.tolist()))
             kept.append(b" ".join(words))
             removed.append(gone)
         return pa.table(
@@ -218,8 +245,6 @@ def _remove(width: int):
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """``key``, n_words, n_removed, kept (the words that stay, joined by spaces)."""
-    if width < SEED:
-        raise ValueError(f"a window has at least {SEED} words")
     plain = docs.select(
         F.col(key).cast("long").alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("id"), text_or_empty(F.col(text)).alias("text")
     )
@@ -231,9 +256,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     recurring = map_batches(seeds.repartition(meeting).sortWithinPartitions("settled", "seed"), _recurring, "seed long, id long", BATCH)
     sharded = plain.withColumn("shard", shard)
     grouped = sharded.groupBy("shard")
-    windows = grouped.cogroup(recurring.withColumn("shard", shard).groupBy("shard")).applyInArrow(_confirm(width), "window long, shard int, low long, high long")
-    # a window has a row per shard at most
-    same = Window.partitionBy("window")
-    wanted = windows.withColumn("owner", F.min("low").over(same)).where("owner < high").select("shard", "window", "owner")
+    windows = grouped.cogroup(recurring.withColumn("shard", shard).groupBy("shard")).applyInArrow(_confirm(width), "window long, check int, low long, at int, more boolean")
+    owner = F.min("low").over(Window.partitionBy("window", "check"))
+    wanted = windows.withColumn("owner", owner).where("owner < low or more")
+    wanted = wanted.select(F.pmod(F.xxhash64("low"), F.lit(shards)).cast("int").alias("shard"), "low", "at", "check", "owner")
     out = grouped.cogroup(wanted.groupBy("shard")).applyInArrow(_remove(width), "key long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("key", key)

@@ -34,16 +34,16 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def runs(hashes: np.ndarray, k: int) -> np.ndarray:
-    """The hash of the k words from each position on (empty if there are fewer)."""
+def runs(hashes: np.ndarray, k: int, base: np.uint64 = _BASE) -> np.ndarray:
+    """The hash of the k words from each position on (empty if there are fewer); another base gives another hash."""
     if len(hashes) < k:
         return np.empty(0, np.uint64)
     out, width = hashes, 1
     for bit in bin(k)[3:]:
-        out = out[:-width] * np.power(_BASE, np.uint64(width)) + out[width:]
+        out = out[:-width] * np.power(base, np.uint64(width)) + out[width:]
         width *= 2
         if bit == "1":
-            out = out[:-1] * _BASE + hashes[width:]
+            out = out[:-1] * base + hashes[width:]
             width += 1
     return mixed(out)
 
