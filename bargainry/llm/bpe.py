@@ -13,7 +13,8 @@ the tokens with spaces, as that library does where the file has no decoder.
 
 Defined results: a null text is an empty text, which has no ids and decodes to an empty
 text; an unknown id ends the run with an error; empty tables give no rows; repeated rows
-have a row each; all columns of the input are kept.
+have a row each; texts of any length are encoded whole, 500 at a time; all columns of the
+input are kept, but for those that the new ones are named like, which they replace.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,9 @@ class Vocabulary:
             at = match.end()
         return out + self.stretches(text[at:])
 
+    def text_of(self, ids: Iterable[int]) -> str:
+        return " ".join(map(self.tokens.__getitem__, ids))
+
     def encode_all(self, stretches: list[str]) -> list[list[int]]:
         """The ids of every stretch; its words are merged once however often they occur."""
         found = [self.words.findall(s) for s in stretches]
@@ -154,7 +158,7 @@ class Vocabulary:
 KNOWN = 300_000
 
 
-def _encoder(path: str, text: str, out: str):
+def _encoder(path: str, text: str, out: str, back: str | None):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(path)
         fixed = {i: np.array([i], np.int32).tobytes() for i in vocabulary.special.values()}
@@ -174,30 +178,38 @@ def _encoder(path: str, text: str, out: str):
                 ends = np.cumsum([0] + [len(r) // 4 for r in rows])
                 flat = pa.array(np.frombuffer(b"".join(rows), np.int32))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out])
+                new_columns, names = [ids], [out]
+                if back:
+                    new_columns.append(pa.array([vocabulary.text_of(np.frombuffer(r, np.int32).tolist()) for r in rows], pa.string()))
+                    names.append(back)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new_columns], [*batch.schema.names, *names])
 
     return encode
 
 
 def _decoder(path: str, ids: str, out: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = Vocabulary(path).tokens.__getitem__
+        vocabulary = Vocabulary(path)
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
-                texts = [" ".join(map(token, x or ())) for x in batch.column(ids).to_pylist()]
+                texts = [vocabulary.text_of(x or ()) for x in batch.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
     return decode
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds ``out``, the ids of the whole text.  ``out`` must not be a column yet."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType(), True))])
-    return map_batches(docs, _encoder(path, text, out), schema)
+def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", back: str | None = None) -> DataFrame:
+    """Adds ``out``, the ids of the whole text, and ``back``, if named, the text that these ids decode to.
+
+    Both in one pass hold one vocabulary a task, where ``encode`` and ``decode`` hold two.
+    """
+    docs = docs.drop(out, *[back] * bool(back))
+    fields = [T.StructField(out, T.ArrayType(T.IntegerType(), True)), *[T.StructField(back, T.StringType())] * bool(back)]
+    return map_batches(docs, _encoder(path, text, out, back), T.StructType([*docs.schema.fields, *fields]))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds ``out``, the text that the ids stand for."""
-    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
-    return map_batches(rows, _decoder(path, ids, out), schema)
+    rows = rows.drop(out)
+    return map_batches(rows, _decoder(path, ids, out), T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +16,9 @@ from pyspark.sql.window import Window
 #: fixed width; above it the same join is shuffled.
 BROADCAST_ROWS = 500_000
 
+#: Rows of an Arrow batch, in place of Spark's default.
+ARROW_ROWS, _SPARKS_ROWS = 1000, "10000"
+
 #: What separates words: space, tab, newline, vertical tab, form feed, carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -22,11 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own where it names none."""
+    """The shared folder that the cluster names; one of our own where it names none and all is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"{tempfile.gettempdir()}/bargainry-scratch"
-    return root.rstrip("/")
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return (root or f"{tempfile.gettempdir()}/bargainry-scratch").rstrip("/")
 
 
 def materialize(df: DataFrame, *sort: str, bloom: str | None = None) -> DataFrame:
@@ -44,10 +50,38 @@ def materialize(df: DataFrame, *sort: str, bloom: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, function, schema, rows: int = 1000) -> DataFrame:
-    """mapInArrow in batches of ``rows``, which bounds what a task holds of long texts at once."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(function, schema)
+def give_back() -> None:
+    """Returns freed memory to the system, as a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(ctypes.CDLL(None), "malloc_trim"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """mapInArrow in batches of ``ARROW_ROWS``, which bounds what a task holds of long texts at once.
+
+    Spark has no such bound for a single operator.  The session's is set, to the same value
+    by all operators, unless the user has set one.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == _SPARKS_ROWS:
+        conf.set(name, str(ARROW_ROWS))
+    return df.mapInArrow(run, schema)
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def text_or_empty(col: Column) -> Column:

@@ -45,14 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_batches, text_or_empty
+from .common import give_back, map_batches, text_or_empty
 from .words import WordHashes, runs, sliding, split
 
 WIDTH = 13
 SEED = 6
 SHARD_BYTES = 4_000_000
-#: Rows of a batch; seeds that a batch shares are settled in it.
-BATCH = 10_000
+#: Documents whose shared seeds are settled in their task, in number and in bytes.
+SETTLED, SETTLED_BYTES = 10_000, 32_000_000
 _LAST = 2**63 - 1
 #: The base of the second hash.
 _CHECK = np.uint64(0xD6E8FEB86659FD93)
@@ -70,29 +70,35 @@ def _seed_of(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def _seeds(width: int):
-    """Rows (seed, id, settled) of a batch; see step 1."""
+    """Rows (seed, id, settled); see step 1."""
+
+    def settle(found: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
+        seed = np.concatenate([*found, np.empty(0, np.uint64)])
+        owner = np.repeat(np.array(ids, np.int64), [len(f) for f in found])
+        order = np.argsort(seed, kind="stable")
+        seed, owner = seed[order], owner[order]
+        first = np.append(True, seed[1:] != seed[:-1])[: len(seed)]
+        shared = ~first
+        shared[:-1] |= ~first[1:]
+        out_seed = np.concatenate([seed[first], seed[shared]]).view(np.int64)
+        out_id = np.concatenate([owner[first], owner[shared]])
+        settled = np.repeat([False, True], [first.sum(), shared.sum()])
+        for at in range(0, len(out_seed), 200_000):
+            part = slice(at, at + 200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(out_seed[part]), pa.array(out_id[part]), pa.array(settled[part])], ["seed", "id", "settled"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
+        found, ids, size = [], [], 0
         for batch in batches:
-            ids, found = batch.column("id").to_pylist(), []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 found.append(np.unique(_seed_of(words.of(split(text)), width)))
-            seed = np.concatenate([*found, np.empty(0, np.uint64)])
-            owner = np.repeat(np.array(ids, np.int64), [len(f) for f in found])
-            order = np.argsort(seed, kind="stable")
-            seed, owner = seed[order], owner[order]
-            if not len(seed):
-                continue
-            first = np.append(True, seed[1:] != seed[:-1])
-            shared = ~first
-            shared[:-1] |= ~first[1:]
-            out_seed = np.concatenate([seed[first], seed[shared]]).view(np.int64)
-            out_id = np.concatenate([owner[first], owner[shared]])
-            settled = np.repeat([False, True], [first.sum(), shared.sum()])
-            for at in range(0, len(out_seed), 200_000):
-                part = slice(at, at + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(out_seed[part]), pa.array(out_id[part]), pa.array(settled[part])], ["seed", "id", "settled"])
+                ids.append(i)
+                size += len(text)
+                if len(ids) >= SETTLED or size >= SETTLED_BYTES:
+                    yield from settle(found, ids)
+                    found, ids, size = [], [], 0
+        yield from settle(found, ids)
 
     return find
 
@@ -153,6 +159,7 @@ def _confirm(width: int):
         order = np.lexsort((at, ids, check, window))
         window, check, ids, at = window[order], check[order], ids[order], at[order]
         same = (window[1:] == window[:-1]) & (check[1:] == check[:-1])
+        give_back()
         first = np.flatnonzero(np.append(True, ~same)[: len(window)])
         last = np.flatnonzero(np.append(~same, True)[: len(window)])
         return pa.table(
@@ -231,6 +238,7 @@ def _remove(width: int):
                 words = list(compress(words, stay.tolist()))
             kept.append(b" ".join(words))
             removed.append(gone)
+        give_back()
         return pa.table(
             {
                 "key": docs.column("key"),
@@ -251,9 +259,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    seeds = map_batches(plain.select("id", "text"), _seeds(width), "seed long, id long, settled boolean", BATCH)
+    seeds = map_batches(plain.select("id", "text"), _seeds(width), "seed long, id long, settled boolean")
     meeting = F.when(F.col("settled"), F.xxhash64("id", "seed")).otherwise(F.col("seed"))
-    recurring = map_batches(seeds.repartition(meeting).sortWithinPartitions("settled", "seed"), _recurring, "seed long, id long", BATCH)
+    recurring = map_batches(seeds.repartition(meeting).sortWithinPartitions("settled", "seed"), _recurring, "seed long, id long")
     sharded = plain.withColumn("shard", shard)
     grouped = sharded.groupBy("shard")
     windows = grouped.cogroup(recurring.withColumn("shard", shard).groupBy("shard")).applyInArrow(_confirm(width), "window long, check int, low long, at int, more boolean")

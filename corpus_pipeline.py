@@ -34,9 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).drop("text"), path)
-    return out.withColumn("n_tokens", F.size("ids"))
+    out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path(), back="decoded")
+    return out.drop("text").withColumn("n_tokens", F.size("ids"))
 
 
 STAGES = [
