@@ -204,8 +204,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", bac
 
     Both in one pass hold one vocabulary a task, where ``encode`` and ``decode`` hold two.
     """
-    docs = docs.drop(out, *[back] * bool(back))
-    fields = [T.StructField(out, T.ArrayType(T.IntegerType(), True)), *[T.StructField(back, T.StringType())] * bool(back)]
+    fields = [T.StructField(out, T.ArrayType(T.IntegerType(), True))]
+    if back:
+        fields.append(T.StructField(back, T.StringType()))
+    docs = docs.drop(*[f.name for f in fields])
     return map_batches(docs, _encoder(path, text, out, back), T.StructType([*docs.schema.fields, *fields]))
 
 

@@ -78,8 +78,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic")
-    out = toxicity.score(docs, model)
+    out = toxicity.score(docs, toxicity.fit_or_none(docs, table(spark, sf_dir, "labels"), "toxic"))
     return out.select("doc_id", "severity", "grade", (F.col("grade") > 0).alias("toxic"))
 
 

@@ -6,33 +6,41 @@ all of the ordered thresholds t_0 < t_1 < ...; x marks the words and stems of a
 The weights are sparse (an L1 penalty, by coordinate descent), so a few words carry
 the score.  A text's expected severity is the sum over k of P(y > k).
 
-The fit uses at most ``SAMPLE`` labelled rows, those with the smallest hash of their id, and
-words and stems that ``LEAST`` of these texts or more hold.  Grades are whatever integers the labels
-have; two grades give one threshold.  Scoring reads every whole text.
+The fit uses at most ``SAMPLE`` labelled rows, those with the smallest hash of their id, and of
+these the first that have up to ``OCCURRENCES`` words and stems together (the row that passes
+the bound is the last); of these, the words and stems that ``LEAST`` texts or more hold.  Texts
+become words in tasks, words are counted there, and the driver gets the numbers of the texts
+that hold a word, 4 bytes an occurrence.  Grades are whatever integers the labels have; two
+grades give one threshold.  Scoring reads every whole text.
 
 Defined results: a null or empty text scores by the thresholds alone; labels that are null
 or without a document are ignored and take no place in the sample, as are repeated labels of
 one id after the largest grade; of documents that share an id the fit reads the smallest text;
-labels with fewer than two grades end the fit with an error, unless there are no documents:
-then the model is empty, as is what it scores;
-all columns of the documents are kept by ``score``.
+labels with fewer than two grades end the fit with ``OneGrade``, unless there are no documents:
+then the model is empty.  The empty model gives severity and grade 0.  Texts of any length are
+scored whole, 1000 at a time; all columns of the documents are kept by ``score``, but for those
+that the new ones are named like, which they replace.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import map_batches, materialize
 
 SAMPLE = 8_000
+OCCURRENCES = 8_000_000
 STEMS = (4, 5, 6, 7)
 LEAST = 3
 L1 = 2.0
@@ -45,6 +53,10 @@ def tokens(text: str | None) -> set[str]:
     return words.union(*({w[:n] + "-" for w in words if len(w) > n} for n in STEMS))
 
 
+class OneGrade(ValueError):
+    """The labels do not tell two grades apart."""
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
@@ -62,23 +74,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
-def _descend(row: np.ndarray, col: np.ndarray, n: int, grades: list[int], l1: float, rounds: int, least: int) -> tuple[np.ndarray, list[float]]:
-    """Weights of the ``n`` tokens and the thresholds; ``row`` holds token ``col``."""
-    levels = sorted(set(grades))
+def _descend(row: np.ndarray, edges: np.ndarray, grades: list[int], l1: float, rounds: int) -> tuple[np.ndarray, list[float]]:
+    """A weight for each token and the thresholds; token j is in the texts ``row[edges[j]:edges[j + 1]]``."""
+    levels, n = sorted(set(grades)), len(edges) - 1
     if len(levels) < 2:
-        raise ValueError("ordinal regression needs two grades or more")
-    kept = (np.bincount(col, minlength=n) >= least)[col]
-    row, col = row[kept], col[kept]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    edges = np.searchsorted(col, np.arange(n + 1))
+        raise OneGrade("ordinal regression needs two grades or more")
     above = np.searchsorted(levels, grades)[:, None] > np.arange(len(levels) - 1)[None, :]
     rate = np.clip(above.mean(0), 1e-3, 1 - 1e-3)
     w, t, s = np.zeros(n), np.log((1 - rate) / rate), np.zeros(len(grades))
     for _ in range(rounds):
         moved = 0.0
         pull = (_sigmoid(s[:, None] - t) - above).sum(1)
-        gradient = np.bincount(col, weights=pull[row], minlength=n)
+        gradient = np.add.reduceat(pull[row], edges[:-1]) if n else w
         for j in np.flatnonzero((w != 0) | (np.abs(gradient) > l1)).tolist():
             holders = row[edges[j] : edges[j + 1]]
             chance = _sigmoid(s[holders, None] - t)
@@ -97,12 +104,17 @@ def _descend(row: np.ndarray, col: np.ndarray, n: int, grades: list[int], l1: fl
 
 
 def fit_rows(texts: list[str | None], grades: list[int], l1: float = L1, rounds: int = 40, least: int = LEAST) -> Model:
-    """Coordinate descent on texts in memory; their number has to be bounded by the caller."""
-    number: dict[str, int] = {}
-    parts = [np.array([number.setdefault(w, len(number)) for w in sorted(tokens(t))], np.int32) for t in texts]
-    row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
-    w, t = _descend(row, np.concatenate([*parts, np.array([], np.int32)]), len(number), grades, l1, rounds, least)
-    names = list(number)
+    """Coordinate descent on texts in memory; their number has to be bounded by the caller.
+
+    Words are visited in the order of their hashes.
+    """
+    holders: dict[str, list[int]] = {}
+    for n, text in enumerate(texts):
+        for word in tokens(text):
+            holders.setdefault(word, []).append(n)
+    names = sorted((w for w, rows in holders.items() if len(rows) >= least), key=lambda w: np.uint64(xxhash.xxh64_intdigest(w, 42)).astype(np.int64))
+    row = np.concatenate([np.empty(0, np.int32), *(np.array(holders[w], np.int32) for w in names)])
+    w, t = _descend(row, np.cumsum([0] + [len(holders[x]) for x in names]), grades, l1, rounds)
     return Model({names[j]: float(w[j]) for j in np.flatnonzero(w)}, t)
 
 
@@ -115,11 +127,7 @@ def _tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade: str, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, l1: float = L1) -> Model:
-    """Fit on at most ``sample`` labelled documents, in the order of a hash of the id.
-
-    The texts become words in tasks; the driver gets a grade and hashes of words for each
-    document of the sample, and the words of the weights.
-    """
+    """Fit on at most ``sample`` labelled documents, in the order of a hash of the id."""
     graded = labels.where(F.col(grade).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max(F.col(grade)).cast("int").alias("grade"))
     body = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     graded = graded.join(body.select("id").distinct(), "id", "left_semi")
@@ -127,26 +135,39 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str, key: str = "doc_id", tex
     found = body.join(F.broadcast(chosen), "id").groupBy("id", "grade").agg(F.min("text").alias("text"))  # ``sample`` labels at most
     schema = T.StructType([found.schema["id"], found.schema["grade"], T.StructField("words", T.ArrayType(T.StringType()))])
     rows = materialize(map_batches(found, _tokenized, schema))
-    hashed = F.transform("words", lambda w: F.xxhash64(w))
-    got = rows.orderBy("id").select("grade", hashed.alias("words")).toArrow()
-    if not got.num_rows and docs.isEmpty():
+    order = Window.orderBy(F.xxhash64("id", F.lit("fit")), "id")  # ``sample`` rows at most
+    before = F.coalesce(F.sum(F.size("words")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = rows.select("id", "grade", before.alias("before"), (F.row_number().over(order) - 1).alias("row")).where(F.col("before") < OCCURRENCES)
+    grades = [r["grade"] for r in numbered.orderBy("row").collect()]
+    if not grades and docs.isEmpty():
         return Model({}, [])
-    grades, words = got.column("grade").to_pylist(), got.column("words").combine_chunks()
-    lengths = words.value_lengths().to_numpy(zero_copy_only=False)
-    values = words.flatten().to_numpy(zero_copy_only=False)
-    del got, words
-    names, col = np.unique(values, return_inverse=True)
-    del values
-    row = np.repeat(np.arange(len(grades), dtype=np.int32), lengths)
-    w, t = _descend(row, col.astype(np.int32), len(names), grades, l1, 40, LEAST)
+    if len(set(grades)) < 2:
+        raise OneGrade("ordinal regression needs two grades or more")
+    held = rows.join(F.broadcast(numbered.select("id", "row")), "id").select("row", F.explode("words").alias("word"))
+    # a group has a number for each text of the sample at most
+    posts = held.groupBy(F.xxhash64("word").alias("h")).agg(F.sort_array(F.collect_list("row")).alias("rows")).where(F.size("rows") >= LEAST)
+    got = posts.orderBy("h").toArrow()
+    names, texts = got.column("h").to_numpy(), got.column("rows").combine_chunks()
+    edges = np.concatenate([[0], np.cumsum(texts.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    w, t = _descend(texts.flatten().to_numpy(zero_copy_only=False), edges, grades, l1, 40)
     weights = {int(names[j]): float(w[j]) for j in np.flatnonzero(w)}
     heavy = rows.select(F.explode("words").alias("word")).withColumn("h", F.xxhash64("word"))
     known = docs.sparkSession.createDataFrame([(h,) for h in weights], "h long")
     return Model({r["word"]: weights[r["h"]] for r in heavy.join(F.broadcast(known), "h").distinct().collect()}, t)
 
 
+def fit_or_none(docs: DataFrame, labels: DataFrame, grade: str, **options) -> Model:
+    """``fit``; with a warning, the empty model (grade 0 for all) where the labels have fewer than two grades."""
+    try:
+        return fit(docs, labels, grade, **options)
+    except OneGrade:
+        warnings.warn("no two grades among the labels: every text gets grade 0", stacklevel=2)
+        return Model({}, [])
+
+
 def score(docs: DataFrame, model: Model, text: str = "text", severity: str = "severity", grade: str = "grade") -> DataFrame:
     """Adds the expected severity and the grade of every whole text."""
+    docs = docs.drop(severity, grade)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -12,28 +12,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bargainry.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
-from bargainry.llm.common import materialize
+from bargainry.llm.common import materialize, unused
 from bargainry.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic")
-    return toxicity.score(docs, model, severity="__severity", grade="__grade").where("__grade = 0").drop("__severity", "__grade")
+    """Documents that the model, fitted on the labelled ones of these, gives grade 0.
+
+    Null and empty texts score by the thresholds alone; null ids are scored, but not fitted on;
+    repeated rows get the same grade; whole texts are read, however long.  Labels without two
+    grades keep every document, with a warning.  An empty table gives no rows.
+    """
+    severity, grade = unused("severity", docs), unused("grade", docs)
+    model = toxicity.fit_or_none(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic")
+    return toxicity.score(docs, model, severity=severity, grade=grade).where(F.col(grade) == 0).drop(severity, grade)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for the case of A-Z, the row with the largest id.
+
+    A null text is an empty one; a null id stays only where no other has the text; of
+    repeated rows one stays; all columns are kept, whatever their names.
+    """
     return exact_dedup.deduplicate(docs, keep="largest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates, the row with the smallest id.
+
+    A null text is an empty one; texts without words are one class; null ids come last; of
+    rows that tie one stays; all columns are kept, whatever their names.
+    """
     return near_dedup.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, repeated or left out so that sources come near their targets, in the schedule's order.
+
+    Documents without words go; a null source is a source; repeated rows share their copies
+    evenly; all columns are kept, whatever their names; an empty table gives no rows.
+    """
     return mixing.sample(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, ids, decoded (what the ids stand for) and n_tokens, a row per row.
+
+    A null text has no ids; texts of any length are encoded whole; further columns go.
+    """
     out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path(), back="decoded")
     return out.drop("text").withColumn("n_tokens", F.size("ids"))
 
