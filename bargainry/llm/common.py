@@ -35,15 +35,18 @@ def scratch_root(spark: SparkSession) -> str:
     return (root or f"{tempfile.gettempdir()}/bargainry-scratch").rstrip("/")
 
 
-def materialize(df: DataFrame, *sort: str, bloom: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, *sort: str, bloom: str | None = None, folders: str | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.  The files
-    have Bloom filters on the column ``bloom``, as large as their number of values asks for.
+    have Bloom filters on the column ``bloom``, as large as their number of values asks for;
+    each value of the column ``folders`` has files of its own.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/bargainry/{uuid.uuid4().hex}"
     writer = (df.sortWithinPartitions(*sort) if sort else df).write
+    if folders:
+        writer = writer.partitionBy(folders)
     if bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
     writer.parquet(path)
@@ -88,12 +91,13 @@ def text_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
-def semi_by_size(left: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
-    """A join with ``keys``, which are broadcast if they are few, else shuffled.
+def semi_by_size(left: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi", most: int | None = None) -> DataFrame:
+    """A join with ``keys``, which are broadcast if they are few (``most`` rows), else shuffled.
 
     ``keys`` has to be a materialized table, as it is counted first.
     """
-    small = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    most = BROADCAST_ROWS if most is None else most
+    small = keys.limit(most + 1).count() <= most
     return left.join(F.broadcast(keys) if small else keys, on, how)
 
 
@@ -124,6 +128,18 @@ def running_before(
     )
 
 
+def numbered(df: DataFrame, by: str, out: str) -> DataFrame:
+    """Adds ``out``: the number of rows that come before in the order of ``by``, whose values differ.
+
+    The rows are dealt to ranges of ``by``; a row per range gives each its start.
+    """
+    parts = materialize(df.repartitionByRange(task_count(df.sparkSession), by).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(by)) - 1
+    return parts.withColumn("__place", place).join(F.broadcast(starts), "__part").withColumn(out, F.col("__place") + F.col("__start")).drop("__part", "__place", "__start")
+
+
 def unit_hash(*cols: Column) -> Column:
     """A hash of the columns as a double in (0, 1)."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) * F.lit(2.0**-53)

@@ -1,22 +1,27 @@
 """Exact deduplication by a log-structured merge index, with DataFrame functions only.
 
-* memtables: the documents are dealt to memtables; each is flushed as a run, sorted by
-  digest, with a Bloom filter on the digest in its Parquet files.  A run has a row per
-  digest and document id, with its number of rows.  ``find`` looks single digests up and
-  reads only the row groups whose filters and bounds let them pass.
-* compaction: the runs are merged to a row per digest with the identifier that survives
-  and the size of the group.  It is an aggregation with map-side partial results, so a
-  group with a third of all rows costs each task one row.
+* memtables: the documents are dealt to memtables by a hash of their id.  Each is flushed as a
+  run in a folder of its own: files sorted by digest, with a row per digest and id.  A run has
+  a filter besides, a bitmap of its digests' hashes, in buckets of 2^15 bits.
+* probe: the digests of a run are looked up in the filters of the runs before it.  What no
+  filter holds is new and passes; the rest may be hits.
+* compaction: only the possible hits and the rows that they meet in earlier runs are merged,
+  to a row per digest with the identifier that survives and the size of the group; all
+  others pass as they are.  The merge aggregates each run before runs meet, so a group with a
+  third of all rows costs a task one row for each run.
 * hits: digests with more than one row receive byte verification; the smallest and the
-  largest text of a digest (again partial on the map side) have to be the same bytes.
+  largest text of a digest (partial on the map side) have to be the same bytes.
   Where they differ, the digest is split by the texts themselves.
+* ``find`` looks single digests up and reads only the row groups whose Bloom filters and
+  bounds let them pass.
 
 The index keeps the smallest identifier unless ``keep="largest"``.
 
 Texts are equal when the same after lower-casing A-Z only.  Defined results: a null text
 is an empty text; null ids come after all others and stay only in a group that has no
-other; of repeated rows (same id and text) one stays; an empty table gives no rows;
-further columns are kept by ``deduplicate`` and ignored by ``decide``.
+other; of repeated rows (same id and text) one stays; texts of any length are digested and
+compared whole; an empty table gives no rows; further columns are kept by ``deduplicate``,
+whatever their names, and ignored by ``decide``.
 """
 
 from __future__ import annotations
@@ -26,10 +31,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialize, semi_by_size, text_or_empty
+from .common import materialize, semi_by_size, text_or_empty, unused
 
 MEMTABLES = 16
+#: A filter has so many bits for each digest of all runs, in buckets of 2^15 bits (4 kB).
+FILTER_BITS = 16
+_BUCKET_BITS = 1 << 15
+#: Buckets of all filters that are broadcast at most: 32 MB.
+_BROADCAST_BUCKETS = 8_000
 
 
 def normalized(text: Column) -> Column:
@@ -44,22 +55,34 @@ def sha256(text: Column) -> Column:
 
 
 def flush(docs: DataFrame, key: str, text: str, digest: Callable[[Column], Column] = sha256, memtables: int = MEMTABLES) -> DataFrame:
-    """Level 0: the runs of all memtables, with columns run, digest, id, rows."""
-    spark = docs.sparkSession
+    """Level 0: the runs of all memtables, with columns digest, id, rows, run."""
     body = normalized(F.col(text))
-    rows = (
-        docs.select(F.col(key).alias("id"), digest(body).alias("digest"))
-        .groupBy(F.pmod(F.xxhash64("id"), F.lit(memtables)).cast("int").alias("run"), "digest", "id")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
-    return materialize(rows, "run", "digest", bloom="digest")
+    run = F.pmod(F.xxhash64("id"), F.lit(memtables)).cast("int")
+    rows = docs.select(F.col(key).alias("id"), digest(body).alias("digest")).groupBy("digest", "id").agg(F.count(F.lit(1)).alias("rows"))
+    return materialize(rows.withColumn("run", run), "run", "digest", bloom="digest", folders="run")
+
+
+def probe(runs: DataFrame) -> DataFrame:
+    """The digests of runs (digest, run) that the filters of earlier runs may hold, each once."""
+    buckets = max(1, -(-runs.count() * FILTER_BITS // _BUCKET_BITS))
+    h = F.xxhash64("digest")
+    placed = runs.select("digest", "run", F.pmod(h, F.lit(buckets)).alias("bucket"), F.pmod(F.shiftrightunsigned(h, 32), F.lit(_BUCKET_BITS)).alias("bit"))
+    filters = placed.groupBy("run", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    earlier = Window.partitionBy("bucket").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # a row per run
+    filters = materialize(filters.select("run", "bucket", F.bitmap_or_agg("bits").over(earlier).alias("bits")))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1
+    return semi_by_size(placed, filters, ["run", "bucket"], "inner", _BROADCAST_BUCKETS).where(held).select("digest").distinct()
 
 
 def compact(runs: DataFrame, keep: str = "smallest") -> DataFrame:
     """Level 1: a row per digest with the identifier to keep and the number of rows."""
-    survivor = F.max("id") if keep == "largest" else F.min("id")
-    merged = runs.groupBy("digest").agg(survivor.alias("keep"), F.sum("rows").alias("size"))
-    return materialize(merged, "digest", bloom="digest")
+    survivor = F.max if keep == "largest" else F.min
+    own = materialize(runs.groupBy("run", "digest").agg(survivor("id").alias("keep"), F.sum("rows").alias("size")))
+    hits = materialize(probe(own))
+    new = semi_by_size(own, hits, ["digest"], "left_anti").select("digest", "keep", "size")
+    merged = semi_by_size(own, hits, ["digest"]).groupBy("digest").agg(survivor("keep").alias("keep"), F.sum("size").alias("size"))
+    return materialize(new.unionByName(merged), "digest", bloom="digest")
 
 
 def find(index: DataFrame, digests: list[str]) -> DataFrame:
@@ -87,7 +110,9 @@ def decide(
     runs = flush(docs, key, text, digest)
     level1 = compact(runs, keep)
     clashing = collisions(docs, text, level1, digest)
-    decided = runs.select("digest", "id", "rows").join(level1, "digest")
+    shared = materialize(level1.where("size > 1"))
+    decided = semi_by_size(runs.select("digest", "id", "rows"), shared, ["digest"], "left")
+    decided = decided.select("digest", "id", "rows", F.coalesce("keep", "id").alias("keep"), F.coalesce("size", "rows").alias("size"))
     if not clashing.isEmpty():
         body = normalized(F.col(text))
         split = (
@@ -112,17 +137,14 @@ def decide(
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "smallest") -> DataFrame:
     """The documents that stay, with all their columns."""
     decided = decide(docs, key, text, keep)
-    dropped = materialize(
-        decided.groupBy("digest", F.col(key).alias("__id"))
-        .agg(F.max("kept").alias("__stays"), F.count(F.lit(1)).alias("__rows"))
-        .where(~F.col("__stays") | (F.col("__rows") > 1))
-        .withColumnRenamed("digest", "__digest")
-    )
-    tagged = docs.withColumn("__digest", sha256(normalized(F.col(text)))).withColumn("__id", F.coalesce(F.col(key).cast("string"), F.lit("null")))
-    dropped = dropped.withColumn("__id", F.coalesce(F.col("__id").cast("string"), F.lit("null")))
-    single = semi_by_size(tagged, dropped.select("__digest", "__id"), ["__digest", "__id"], "left_anti")
-    repeated = materialize(dropped.where("__stays and __rows > 1").select("__digest", "__id"))
+    own = [unused("digest", docs), unused("id", docs)]
+    known = F.coalesce(F.col(key).cast("string"), F.lit("null"))
+    dropped = decided.groupBy(F.col("digest").alias(own[0]), known.alias(own[1])).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    dropped = materialize(dropped.where("not stays or rows > 1"))
+    tagged = docs.withColumns({own[0]: sha256(normalized(F.col(text))), own[1]: known})
+    single = semi_by_size(tagged, dropped.select(*own), own, "left_anti")
+    repeated = materialize(dropped.where("stays and rows > 1").select(*own))
     if not repeated.isEmpty():
-        again = semi_by_size(tagged, repeated, ["__digest", "__id"]).dropDuplicates(["__digest", "__id"])
+        again = semi_by_size(tagged, repeated, own).dropDuplicates(own)
         single = single.unionByName(again)
-    return single.drop("__digest", "__id")
+    return single.drop(*own)
