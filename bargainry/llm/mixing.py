@@ -12,12 +12,13 @@
    are cut into blocks of ``block_words``.  The slot of rank r takes block r mod (number of
    blocks), so a second round begins when the first is over.
 
-Sources are listed one by one with a weight each, so their totals (a row per source, at
-most ``MAX_SOURCES``) go to the driver; documents never do.
+Any number of sources is planned on Spark: their order by ranges, their targets by rounds of
+one aggregate each.  The driver gets sums only.
 
 Defined results: a null text has no words; a null source is a source of its own, the last;
-a document without words is taken 0 times; repeated rows are documents of their own; an
-empty table gives no rows; further columns are ignored by ``mix`` and kept by ``sample``.
+a document without words is taken 0 times; repeated rows are documents of their own; a text
+of any length is one document over as many blocks as it needs; an empty table gives no rows;
+further columns are ignored by ``mix`` and kept by ``sample``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,10 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize, running_before, semi_by_size, task_count, text_or_empty, unit_hash
+from .common import WORD, materialize, numbered, running_before, semi_by_size, task_count, text_or_empty, unit_hash, unused
 
-#: More sources than this end the run with an error.
-MAX_SOURCES = 100_000
 BLOCK_WORDS = 256
 _CHUNK = 65_536
 
@@ -46,7 +45,10 @@ def source_key(source: Column) -> Column:
 
 
 def targets(sizes: dict[str, int], weights: dict[str, float], share: float, max_epochs: float) -> dict[str, float]:
-    """Shares of ``share`` times all words by weight; none above ``max_epochs`` times its size."""
+    """Shares of ``share`` times all words by weight; none above ``max_epochs`` times its size.
+
+    The plan of a few sources in memory, for users; ``plan_sources`` does the same on Spark.
+    """
     budget, free = share * sum(sizes.values()), sorted(sizes)
     out: dict[str, float] = {}
     while free:
@@ -69,21 +71,18 @@ def lattice(n: int) -> tuple[int, int]:
     return (a + step) % n or 1, pow(a + step, -1, n)
 
 
-def slots_of(target: int, size: int, block: int) -> int:
-    rounds, rest = divmod(target, size)
-    return rounds * -(-size // block) + -(-rest // block)
-
+def schedule(spark, plan: DataFrame | list[dict], block: int) -> DataFrame:
+    """A row per slot: source, slot (its place in the schedule), rank within the source.
 
-def schedule(spark, plan: list[dict], block: int) -> DataFrame:
-    """A row per slot: source, slot (its place in the schedule), rank within the source."""
-    n = sum(p["slots"] for p in plan)
+    ``plan`` has source, slots and, as a table, place (the source's number from 0).
+    """
+    if not isinstance(plan, DataFrame):
+        plan = spark.createDataFrame([(i, p["source"], p["slots"]) for i, p in enumerate(plan)], "place long, source string, slots long")
+    n, sources = plan.agg(F.coalesce(F.sum("slots"), F.lit(0)), F.count(F.lit(1))).first()
     _, inverse = lattice(max(n, 1))
-    rows, first = [], 0
-    for p in plan:
-        rows.append((p["source"], first, p["slots"]))
-        first += p["slots"]
-    sources = spark.createDataFrame(rows, "source string, first long, slots long").where("slots > 0")
-    chunks = sources.select("source", "first", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(_CHUNK).cast("long"))).alias("chunk"))
+    firsts = running_before(plan.select("place", "source", "slots"), [], F.col("place") / F.lit(float(max(sources, 1))), [F.col("place")], F.col("slots"), task_count(spark), "first")
+    firsts = firsts.where("slots > 0")
+    chunks = firsts.select("source", "first", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(_CHUNK).cast("long"))).alias("chunk"))
     chunks = chunks.repartition(task_count(spark), "source", "chunk")
     places = chunks.select("source", F.explode(F.sequence(F.col("first") + F.col("chunk"), F.col("first") + F.least(F.col("chunk") + _CHUNK, F.col("slots")) - 1)).alias("point"))
     slot = (F.col("point").cast("decimal(19,0)") * F.lit(inverse).cast("decimal(19,0)")) % F.lit(max(n, 1)).cast("decimal(19,0)")
@@ -91,17 +90,29 @@ def schedule(spark, plan: list[dict], block: int) -> DataFrame:
     return running_before(slots, ["source"], F.col("slot") / F.lit(float(max(n, 1))), [F.col("slot")], F.lit(1), task_count(spark), "rank")
 
 
-def plan_sources(sized: DataFrame, share: float, max_epochs: float, cycle: tuple[float, ...], block: int) -> list[dict]:
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources to weigh")
-    sizes = {r["source"]: r["size"] for r in totals}
-    weights = {s: float(cycle[i % len(cycle)]) for i, s in enumerate(sorted(sizes))}
-    goal = targets(sizes, weights, share, max_epochs)
-    return [
-        {"source": s, "size": sizes[s], "target": goal[s], "take": (t := math.floor(goal[s])), "slots": slots_of(t, sizes[s], block) if sizes[s] else 0}
-        for s in sorted(sizes)
-    ]
+def plan_sources(sized: DataFrame, share: float, max_epochs: float, cycle: tuple[float, ...], block: int) -> DataFrame:
+    """A row per source: place, source_size, target, take (whole words), slots.
+
+    A source is full if its share of the level (words per weight) is above ``max_epochs`` times
+    its size.  What the full ones leave raises the level, until no more are full.
+    """
+    totals = numbered(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "source", "place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in cycle]), (F.col("place") % len(cycle) + 1).cast("int"))
+    totals = materialize(totals.withColumn("weight", weight).withColumn("most", F.lit(float(max_epochs)) * F.col("source_size")))
+    words, heavy = totals.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    budget, full, stopped = share * words, F.lit(heavy <= 0), -1
+    while heavy > 0:
+        full = F.lit(budget) * F.col("weight") / F.lit(heavy) > F.col("most")
+        count, spent, rest = totals.agg(F.count_if(full), F.sum(F.when(full, F.col("most")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        if count == stopped:
+            break
+        budget, heavy, stopped = share * words - spent, rest, count
+        full = F.lit(True)  # if no weight is left
+    target = F.when(full, F.col("most")).otherwise(F.lit(budget) * F.col("weight") / F.lit(heavy or 1.0))
+    plan = totals.withColumn("target", target).withColumn("take", F.floor("target"))
+    blocks = lambda c: F.expr(f"({c} + {block - 1}) div {block}")
+    slots = F.expr("take div source_size") * blocks("source_size") + blocks("take % source_size")
+    return materialize(plan.select("place", "source", "source_size", "target", "take", F.when(F.col("source_size") > 0, slots).otherwise(0).alias("slots")))
 
 
 def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -112,17 +123,14 @@ def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
 def _taken(sized: DataFrame, share: float, max_epochs: float, cycle: tuple[float, ...], block: int) -> DataFrame:
     spark = sized.sparkSession
     plan = plan_sources(sized, share, max_epochs, cycle, block)
-    facts = spark.createDataFrame(
-        [(p["source"], p["size"], p["target"], p["take"]) for p in plan], "source string, source_size long, target double, take long"
-    )
-    sized = sized.join(F.broadcast(facts), "source")  # MAX_SOURCES rows at most
+    sized = semi_by_size(sized, plan.select("source", "source_size", "target"), ["source"], "inner")
     shuffled = unit_hash(F.col("id"), F.col("body"), F.lit("mix"))
     full = sized.where("size > 0").withColumn("at", shuffled)
     order = [F.col(c).asc_nulls_first() for c in ("at", "id", "body", "size")]
     laid = running_before(full, ["source"], F.col("at"), order, F.col("size"), task_count(spark), "start")
     # Rows that share id, text and source lie end to end; their start tells them apart.
     parts = laid.select("*", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
-    slots = schedule(spark, plan, block).join(F.broadcast(facts.where("take > 0").select("source", "source_size", "take")), "source")
+    slots = semi_by_size(schedule(spark, plan, block), plan.select("source", "source_size", "take"), ["source"], "inner")
     blocks = F.expr(f"(source_size + {block - 1}) div {block}")
     slots = slots.select(
         "source",
@@ -170,24 +178,38 @@ def sample(
     cycle: tuple[float, ...] = (3, 1, 2),
     block: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """The mixture in whole documents: each occurs taken / size times, rounded (half up)."""
-    out = _taken(materialize(_sized(docs, key, text, source)), share, max_epochs, cycle, block)
+    """The mixture in whole documents: each occurs taken / size times, rounded (half up).
+
+    The rows are in the order of the schedule: a document comes at its first slot, further
+    copies follow a round of its source later each.
+    """
+    sized = materialize(_sized(docs, key, text, source))
+    out = _taken(sized, share, max_epochs, cycle, block)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
-    known = [F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("__id"), F.col("source").alias("__source"), F.col("body").alias("__body")]
-    counts = materialize(out.groupBy(*known).agg(F.sum(copies).cast("int").alias("__copies"), F.count(F.lit(1)).cast("int").alias("__rows")).where("__copies > 0"))
-    tagged = docs.select(
-        "*",
-        F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("__id"),
-        source_key(F.col(source)).alias("__source"),
-        F.xxhash64(text_or_empty(F.col(text))).alias("__body"),
+    own = [unused(c, docs) for c in ("id", "source_key", "body")]
+    copied, rows, slot, round_, turn = (unused(c, docs) for c in ("copies", "rows", "slot", "round", "turn"))
+    known = [F.coalesce(F.col("id").cast("string"), F.lit("null")).alias(own[0]), F.col("source").alias(own[1]), F.col("body").alias(own[2])]
+    counts = out.groupBy(*known).agg(
+        F.sum(copies).cast("int").alias(copied), F.count(F.lit(1)).cast("int").alias(rows), F.min("first_slot").alias(slot), F.max(F.try_divide("source_size", "target")).alias(round_)
+    )
+    counts = materialize(counts.where(F.col(copied) > 0))
+    tagged = docs.withColumns(
+        {
+            own[0]: F.coalesce(F.col(key).cast("string"), F.lit("null")),
+            own[1]: source_key(F.col(source)),
+            own[2]: F.xxhash64(text_or_empty(F.col(text))),
+        }
     )
-    keys = ["__id", "__source", "__body"]
-    once = semi_by_size(tagged, counts.where("__rows = 1"), keys, "inner")
-    many = counts.where("__rows > 1")
+    once = semi_by_size(tagged, counts.where(F.col(rows) == 1), own, "inner")
+    many = counts.where(F.col(rows) > 1)
     if not many.isEmpty():
         # rows that are the same in key, source and text share their copies out evenly
-        again = semi_by_size(tagged, many, keys, "inner")
-        turn = F.row_number().over(Window.partitionBy(*keys).orderBy("__copies"))
-        again = again.withColumn("__copies", F.expr("__copies div __rows").cast("int") + (turn <= F.col("__copies") % F.col("__rows")).cast("int"))
-        once = once.unionByName(again)
-    return once.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop(*keys, "__copies", "__rows", "__copy")
+        again = semi_by_size(tagged, many, own, "inner")
+        again = again.withColumn(turn, F.row_number().over(Window.partitionBy(*own).orderBy(copied)))
+        share_out = F.floor(F.col(copied) / F.col(rows)).cast("int") + (F.col(turn) <= F.col(copied) % F.col(rows)).cast("int")
+        once = once.unionByName(again.withColumn(copied, share_out).drop(turn))
+    n = counts.agg(F.coalesce(F.max(slot), F.lit(0))).first()[0] + 1
+    placed = once.where(F.col(copied) > 0).withColumn(turn, F.explode(F.sequence(F.lit(0), F.col(copied) - 1)))
+    placed = placed.withColumn(slot, F.col(slot) + F.col(turn) * F.col(round_) * F.lit(float(n)))
+    ordered = placed.repartitionByRange(task_count(docs.sparkSession), slot).sortWithinPartitions(slot)
+    return ordered.drop(*own, copied, rows, slot, round_, turn)
