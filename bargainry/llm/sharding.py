@@ -10,8 +10,9 @@ A shard that is added beyond the planned ones gets a rack and a region of its ow
 other nodes keep their draws, so it takes documents only into itself (law ``key``).
 
 Defined results: a null text has no bytes; a null id is an id like any other and goes to
-one shard; repeated rows get slots of their own; an empty table gives no rows; further
-columns of the input are ignored.
+one shard; repeated rows get slots of their own; texts of any length are measured whole; an
+empty table gives no rows; further columns are kept by ``descend``, whatever their names, and
+ignored by ``assign``.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_before, task_count, text_or_empty, unit_hash
+from .common import running_before, task_count, text_or_empty, unit_hash, unused
 
 REGIONS, RACKS, SHARDS = 2, 3, 4
 
@@ -71,11 +72,12 @@ def descend(df: DataFrame, key: str, leaves: list[Leaf], out: str) -> DataFrame:
     col, used = F.col(key), [leaf for leaf in leaves if leaf.weight > 0]
     racks = {r: _draw("rack", _weights([x for x in used if x.region == r], "rack"), col) for r in _weights(used, "region")}
     shards = {k: _draw("shard", _weights([x for x in used if x.rack == k], "shard"), col) for k in _weights(used, "rack")}
+    region, rack = unused("region", df), unused("rack", df)
     return (
-        df.withColumn("__region", _draw("region", _weights(used, "region"), col))
-        .withColumn("__rack", _choose(F.col("__region"), racks))
-        .withColumn(out, _choose(F.col("__rack"), shards).cast("int"))
-        .drop("__region", "__rack")
+        df.withColumn(region, _draw("region", _weights(used, "region"), col))
+        .withColumn(rack, _choose(F.col(region), racks))
+        .withColumn(out, _choose(F.col(rack), shards).cast("int"))
+        .drop(region, rack)
     )
 
 
