@@ -144,7 +144,7 @@ def _taken(sized: DataFrame, share: float, max_epochs: float, cycle: tuple[float
     taken = (
         parts.join(slots, ["source", "block"])
         .groupBy("source", "start")
-        .agg(F.sum(F.greatest(high - low, F.lit(0))).alias("taken"), F.min("slot").alias("first_slot"))
+        .agg(F.sum(F.greatest(high - low, F.lit(0))).alias("taken"), F.min(F.when(high > low, F.col("slot"))).alias("first_slot"))
     )
     rows = laid.join(taken, ["source", "start"], "left").select("id", "source", "body", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot")
     empty = sized.where("size = 0").select("id", "source", "body", "size", "source_size", "target", F.lit(0).alias("taken"), F.lit(None).cast("long").alias("first_slot"))
