@@ -25,8 +25,9 @@ however many, cost a row each.  With the default 40 bands of 5, a pair at 0.8 sh
 band with a chance of 1.3e-7.
 
 Defined results: a null text is an empty text; texts without words are alike (one class);
-null ids come after all others; repeated rows share their class; an empty table gives no
-rows; further columns are kept by ``deduplicate`` and ignored by ``classes``.
+null ids come after all others; repeated rows share their class; texts of any length are
+sketched and compared whole; an empty table gives no rows; further columns are kept by
+``deduplicate``, whatever their names, and ignored by ``classes``.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, semi_by_size, text_or_empty
+from .common import map_batches, materialize, semi_by_size, text_or_empty, unused
 from .words import WordHashes, mixed, runs, split
 
 SHINGLE = 5
@@ -158,7 +159,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         moved = down.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = materialize(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        if after.exceptAll(edges).isEmpty() and edges.count() == after.count():
+        # the edges are distinct, so their number and the sum of their hashes tell a change
+        sums = [df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first() for df in (edges, after)]
+        if sums[0] == sums[1]:
             break
         edges = after
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
@@ -284,11 +287,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each class, the one with the least id, with all its columns."""
-    decided = classes(docs, key, text, **options).select(F.coalesce(F.col(key), F.lit(2**63 - 1)).alias("__id"), F.col("node").alias("__node"), "kept")
-    dropped = materialize(decided.groupBy("__id", "__node").agg(F.max("kept").alias("__stays"), F.count(F.lit(1)).alias("__n")).where("not __stays or __n > 1"))
-    tagged = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))).withColumn("__node", node_of(F.col(text)))
-    out = semi_by_size(tagged, dropped.select("__id", "__node"), ["__id", "__node"], "left_anti")
-    repeated = materialize(dropped.where("__stays").select("__id", "__node"))
+    own = [unused("id", docs), unused("node", docs)]
+    known = F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1))
+    decided = classes(docs, key, text, **options).select(known.alias(own[0]), F.col("node").alias(own[1]), "kept")
+    dropped = decided.groupBy(*own).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("rows"))
+    dropped = materialize(dropped.where("not stays or rows > 1"))
+    tagged = docs.withColumns({own[0]: known, own[1]: node_of(F.col(text))})
+    out = semi_by_size(tagged, dropped.select(*own), own, "left_anti")
+    repeated = materialize(dropped.where("stays").select(*own))
     if not repeated.isEmpty():
-        out = out.unionByName(semi_by_size(tagged, repeated, ["__id", "__node"]).dropDuplicates(["__id", "__node"]))
-    return out.drop("__id", "__node")
+        out = out.unionByName(semi_by_size(tagged, repeated, own).dropDuplicates(own))
+    return out.drop(*own)

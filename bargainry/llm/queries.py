@@ -83,7 +83,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+    return near_dedup.classes(table(spark, sf_dir, "documents"), weighted=True).select("doc_id", "class_id", "class_size", "kept")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A null text is an empty one; texts without words are one class; null ids come last; of
     rows that tie one stays; all columns are kept, whatever their names.
     """
-    return near_dedup.deduplicate(docs)
+    return near_dedup.deduplicate(docs, weighted=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
