@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import rules, scalars, text
+from ..functions import scalars, text
 from ..operators import dealquery as dq
-from ..operators import dedupe, evaluate, history, mutations, verify
+from ..operators import evaluate, history, mutations, verify
 from ..operators.dealquery import DealQuery
-from ..sources import payloads
 from ..streaming import ingest
 from . import mart
 from .mart import oracle
@@ -328,14 +327,6 @@ def _cents(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", scalars.price_to_cents(written).alias("cents")).distinct()
 
 
-_TRACK = "|".join(text.TRACKING)
-
-
-@query("q42_canonical_url")
-def _canonical(spark, sf_dir):
-    return mart.table(spark, sf_dir, "pages").select("page_id", text.canonical_url("url").alias("canonical_url"))
-
-
 @query(
     "q43_registrable_domain",
     """WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM pages)
@@ -345,12 +336,6 @@ def _domain(spark, sf_dir):
     return mart.table(spark, sf_dir, "pages").select("page_id", text.registrable_domain("url").alias("domain"))
 
 
-@query("q44_url_dedupe")
-def _url_dedupe(spark, sf_dir):
-    rows = mart.table(spark, sf_dir, "pages").select("page_id", text.canonical_url("url").alias("canonical_url"))
-    return rows.groupBy("canonical_url").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("pages"))
-
-
 @query("q48_title_tokens", "SELECT p_partkey, array_to_string(list_sort(list_filter(string_split_regex(regexp_replace(lower(p_name), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 1 AND NOT regexp_full_match(w, '[0-9]{1,2}') AND NOT list_contains([" + ", ".join(f"'{w}'" for w in text.NOISE) + "], w))), ' ') AS tokens FROM part")
 def _tokens(spark, sf_dir):
     return mart.table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.title_tokens("p_name"), " ").alias("tokens"))
@@ -413,42 +398,6 @@ def _chart(spark, sf_dir):
     return history.chart(_series(spark, sf_dir), "deal_id")
 
 
-# Titles, identity and rules -----------------------------------------------------------------
-
-
-def _parts(spark, sf_dir):
-    """Part names as titles, with one of a few endings by key."""
-    endings = F.array(*[F.lit(x) for x in ("", " - 55 inch TV", " women's running shoes", " kids pyjama, use code SAVE20", " [Hot] cordless drill")])
-    title = F.concat("p_name", F.get(endings, (F.col("p_partkey") % 5).cast("int")))
-    return mart.table(spark, sf_dir, "part").select("p_partkey", title.alias("title"), F.lit(None).cast("string").alias("none"), "p_brand")
-
-
-def _rule(name: str, column) -> None:
-    query(name)(lambda spark, sf_dir: _parts(spark, sf_dir).select("p_partkey", column().alias("value")))
-
-
-_rule("q45_clean_title", lambda: text.clean_title("title"))
-_rule("q47_slug", lambda: text.slug("title", F.lpad(F.col("p_partkey").cast("string"), 6, "0")))
-_rule("q49_fingerprint", lambda: text.fingerprint(F.col("p_brand"), F.col("title"), F.col("p_partkey") * 100))
-_rule("q52_product_key", lambda: scalars.identity(F.col("title"), F.col("p_brand"), F.col("none"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey").cast("string")), F.col("none"))["key"])
-_rule("q54_category_rules", lambda: rules.category(F.col("title"), F.col("none"), F.col("none"), F.col("none")))
-_rule("q55_department_rules", lambda: rules.department(F.col("title"), F.col("none"), F.col("none"), F.col("none"), F.lit("clothing")))
-_rule("q56_keywords", lambda: rules.keywords(F.col("title"), F.col("none"), F.col("none")))
-_rule("q57_brand", lambda: rules.brand("title"))
-_rule("q58_coupon", lambda: rules.coupon("title")["code"])
-
-
-@query("q46_strip_html_description")
-def _descriptions(spark, sf_dir):
-    return mart.table(spark, sf_dir, "pages").select("page_id", text.trim_description("html").alias("description"))
-
-
-@query("q50_dedupe_clusters")
-def _clusters(spark, sf_dir):
-    pages = mart.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.array(F.concat(F.lit("u:"), text.canonical_url("url")), F.concat(F.lit("h:"), F.sha1("html"))).alias("keys"))
-    return dedupe.clusters(pages.select("id", F.explode("keys").alias("key")))
-
-
 # Evaluation, scans of JSON and HTML, windows ------------------------------------------------
 
 
@@ -470,16 +419,6 @@ def _json(spark, sf_dir):
     return mart.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.sum(props["k"]).alias("total"))
 
 
-@query("q62_html_links")
-def _links(spark, sf_dir):
-    return mart.table(spark, sf_dir, "pages").select("page_id", F.explode(payloads.links(F.col("html"), F.col("url"))).alias("link"))
-
-
-@query("q63_probe_platform")
-def _probe(spark, sf_dir):
-    return mart.table(spark, sf_dir, "pages").select("page_id", payloads.platform(F.col("html")).alias("platform"))
-
-
 @query("q67_event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events FROM events GROUP BY ALL")
 def _windows(spark, sf_dir):
     out = ingest.event_windows(mart.table(spark, sf_dir, "events"))
