@@ -11,20 +11,22 @@ whose words also start in a document with a smaller id; windows are judged on th
 2. Confirmation.  Documents are dealt to shards.  A shard names its windows with recurring
    seeds by 96 bits of two hashes and sends a row for each: the smallest id among its
    documents that have it, the place there, and whether others of them have it too.  The
-   smallest id over all shards owns the window.
+   smallest id over all shards owns the window.  Documents whose whole text a smaller id has
+   too take no part: all of their windows are owned by others.
 3. Automata.  A shard gets the places of the windows that it has to remove somewhere: those
    that some document of its own holds and a smaller id owns.  It reads the words there;
    windows that stand side by side make a phrase.  A phrase is cut into pieces of
    (width + 1) / 2 words, so that each of its windows holds a whole piece, and the pieces are
-   compiled into one Aho-Corasick automaton.  All documents of the shard stream through it.
-   Where it reports a piece, the windows around it are compared, word for word, with the
-   windows that the piece was cut from.  Nothing else finds an occurrence.
+   compiled into one Aho-Corasick automaton.  All documents of the shard stream through it,
+   but for the whole copies.  Where it reports a piece, the words around it are compared with
+   those around the pieces of the phrases, all windows at once or else one by one.  Nothing
+   else finds an occurrence.
 
 In a shard, windows are the same only if their words are.  Between shards they are the same
 if 96 bits are: with 10^13 windows some 10^-3 pairs of different windows can be expected to
 share them; such a window would stay.  What a shard holds is bounded by ``SHARD_BYTES`` of text (or one document); the
 number of shards follows the size of the input.  A window that is in every shard meets in one
-task with a row of 36 bytes a shard, which Spark spills.
+task with a row of 24 bytes a shard, which Spark spills.
 
 Defined results: a null text has no words; a null id comes after all ids, so its windows go
 if any id holds them and it owns none over an id; rows that share an id do not count as
@@ -41,15 +43,17 @@ from itertools import compress
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import give_back, map_batches, text_or_empty
+from .common import give_back, map_batches, materialize, semi_by_size, text_or_empty
 from .words import WordHashes, runs, sliding, split
 
 WIDTH = 13
-SEED = 6
+SEED = 5
 SHARD_BYTES = 4_000_000
 #: Documents whose shared seeds are settled in their task, in number and in bytes.
 SETTLED, SETTLED_BYTES = 10_000, 32_000_000
@@ -138,42 +142,73 @@ def _windows(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _confirm(width: int):
-    """(window, check, low, at, more) for the windows of a shard's documents with recurring seeds."""
+    """(window, low, packed) for the windows of a shard's documents with recurring seeds; ``packed`` has check, at and more."""
 
     def windows(docs: pa.Table, seeds: pa.Table) -> pa.Table:
         words, parts = WordHashes(), []
-        seed, owner = _arrays(seeds, "seed", "id")
+        seed, owner, copy = _arrays(seeds, "seed", "id", "copy")
+        copies = set(zip(owner[copy].tolist(), seed[copy].tolist(), strict=True))
+        seed, owner = seed[~copy], owner[~copy]
         order = np.argsort(owner, kind="stable")
         seed, owner = seed[order].view(np.uint64), owner[order]
         if docs.num_rows and len(seed):
+            docs = docs.sort_by("id")  # so that a stable sort by window leaves the ids in order
             for i, text in zip(docs.column("id").to_pylist(), docs.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
                 low, high = np.searchsorted(owner, i, "left"), np.searchsorted(owner, i, "right")
-                if low == high:
+                if low == high or (copies and (i, _text_hash(text)) in copies):
                     continue
                 hashes = words.of(split(text))
                 hit = np.flatnonzero(np.isin(_seed_of(hashes, width), seed[low:high]))
                 window, check = _windows(hashes, width)
-                parts.append((window[hit], check[hit], np.full(len(hit), i, np.int64), hit.astype(np.int32)))
-        kinds = (np.uint64, np.uint32, np.int64, np.int32)
+                parts.append((window[hit], check[hit], np.full(len(hit), i, np.int64), hit.astype(np.int64)))
+        kinds = (np.uint64, np.uint32, np.int64, np.int64)
         window, check, ids, at = (np.concatenate([*(p[n] for p in parts), np.empty(0, kind)]) for n, kind in enumerate(kinds))
-        order = np.lexsort((at, ids, check, window))
+        order = np.argsort(window, kind="stable")
         window, check, ids, at = window[order], check[order], ids[order], at[order]
+        # windows that share 64 bits may part a run of equal ones; each part then has a row
         same = (window[1:] == window[:-1]) & (check[1:] == check[:-1])
-        give_back()
         first = np.flatnonzero(np.append(True, ~same)[: len(window)])
         last = np.flatnonzero(np.append(~same, True)[: len(window)])
-        return pa.table(
-            {"window": window[first].view(np.int64), "check": check[first].view(np.int32), "low": ids[first], "at": at[first], "more": ids[last] > ids[first]}
-        )
+        give_back()
+        packed = (check[first].astype(np.int64) << 32) | (at[first] << 1) | (ids[last] > ids[first])
+        return pa.table({"window": window[first].view(np.int64), "low": ids[first], "packed": packed})
 
     return windows
 
 
+class Piece:
+    """The windows around one piece of the phrases.
+
+    ``spans`` has, by the number of words before the piece and the length, the words of whole
+    spans and the owners of their windows; ``windows`` has the owner of each single window.
+    """
+
+    def __init__(self) -> None:
+        self.spans: dict[tuple[int, int], dict[tuple, tuple[int, ...]]] = {}
+        self.windows: dict[tuple, int] | None = None
+
+    def add(self, before: int, words: tuple, owners: tuple[int, ...]) -> None:
+        found = self.spans.setdefault((before, len(words)), {})
+        known = found.get(words)
+        found[words] = owners if known is None else tuple(map(min, known, owners))
+
+    def owner(self, window: tuple, default: int) -> int:
+        if self.windows is None:
+            self.windows = {}
+            width = len(window)
+            for found in self.spans.values():
+                for words, owners in found.items():
+                    for n, who in enumerate(owners):
+                        key = words[n : n + width]
+                        self.windows[key] = min(who, self.windows.get(key, who))
+        return self.windows.get(window, default)
+
+
 def _phrases(parted: list[list[bytes]], ids: list[int], wanted: pa.Table, width: int, numbers: dict[bytes, int]):
-    """The automaton of pieces, and for each piece the windows around it with their owners."""
+    """The automaton of pieces, and the windows around each piece."""
     piece = (width + 1) // 2
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    tables: list[dict[tuple, int]] = []
+    pieces: list[Piece] = []
     low, at, check, owner = _arrays(wanted, "low", "at", "check", "owner")
     order = np.lexsort((at, low))
     low, at, check, owner = low[order], at[order], check[order].view(np.uint32), owner[order]
@@ -181,61 +216,86 @@ def _phrases(parted: list[list[bytes]], ids: list[int], wanted: pa.Table, width:
     repeated = {i for i, n in Counter(ids).items() if n > 1}
     for words, i in zip(parted, ids, strict=True):
         begin, end = np.searchsorted(low, i, "left"), np.searchsorted(low, i, "right")
+        if begin == end:
+            continue
         places, owners = at[begin:end], owner[begin:end]
-        if i in repeated and begin < end:  # the places are those of one of the rows that share the id
+        if i in repeated:  # the places are those of one of the rows that share the id
             known = _windows(hashes.of(words), width)[1]
             fits = places < len(known)
             fits[fits] = known[places[fits]] == check[begin:end][fits]
             places, owners = places[fits], owners[fits]
-        if not len(places):
-            continue
-        for stretch, owned in zip(*(np.split(x, np.flatnonzero(np.diff(places) != 1) + 1) for x in (places, owners)), strict=True):
-            start = int(stretch[0])
-            phrase = tuple([numbers.setdefault(w, len(numbers) + 1) for w in words[start : start + len(stretch) + width - 1]])
-            for s, who in enumerate(owned.tolist()):
-                cut = -(-s // piece) * piece
-                if s == 0 or s % piece == 1:
-                    key = phrase[cut : cut + piece]
-                    n = automaton.get(key, len(tables))
-                    if n == len(tables):
-                        automaton.add_word(key, n)
-                        tables.append({})
-                    table = tables[n]
-                window = phrase[s : s + width]
-                table[window] = min(who, table.get(window, who))
-    return automaton, tables
+            if not len(places):
+                continue
+        breaks = np.flatnonzero(np.diff(places) != 1) + 1
+        for stretch, owned in zip(np.split(places, breaks), np.split(owners, breaks), strict=True):
+            start, count, owned = int(stretch[0]), len(stretch), owned.tolist()
+            phrase = tuple([numbers.setdefault(w, len(numbers) + 1) for w in words[start : start + count + width - 1]])
+            # window s holds the piece that begins at the next multiple of its length
+            for cut in range(0, count + piece - 1, piece):
+                first, last = max(0, cut - piece + 1), min(cut, count - 1)
+                key = phrase[cut : cut + piece]
+                n = automaton.get(key, len(pieces))
+                if n == len(pieces):
+                    automaton.add_word(key, n)
+                    pieces.append(Piece())
+                pieces[n].add(cut - first, phrase[first : last + width], tuple(owned[first : last + 1]))
+    return automaton, pieces
+
+
+def _hits(automaton, pieces: list[Piece], told: tuple, i: int, width: int) -> list[int]:
+    """Where the windows begin that a smaller id owns."""
+    piece, last, starts = (width + 1) // 2, len(told) - width, []
+    for end, n in automaton.iter(told):
+        begin = end - piece + 1
+        least, most = max(0, end - width + 1), min(begin, last)
+        around = pieces[n]
+        for (before, length), found in around.spans.items():
+            s = begin - before
+            if s >= 0 and (owners := found.get(told[s : s + length])):
+                starts += [s + k for k, who in enumerate(owners) if who < i]
+                if s <= least and s + len(owners) > most:
+                    break
+        else:
+            starts += [s for s in range(least, most + 1) if around.owner(told[s : s + width], i) < i]
+    return starts
+
+
+def _text_hash(text: bytes) -> int:
+    """As Spark's xxhash64 of a text."""
+    value = xxhash.xxh64_intdigest(text, 42)
+    return value - (1 << 64) if value >> 63 else value
 
 
 def _remove(width: int):
     """Step 3 for one shard."""
-    piece = (width + 1) // 2
 
     def remove(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         ids = docs.column("id").to_pylist()
-        parted = [split(t) for t in docs.column("text").cast(pa.large_binary()).to_pylist()]
+        texts = docs.column("text").cast(pa.large_binary()).to_pylist()
+        whole = wanted.filter(pc.less(wanted.column("at"), 0))
+        copies = set(zip(whole.column("low").to_pylist(), whole.column("owner").to_pylist(), strict=True))
+        parted = [split(t) for t in texts]
+        copied = [bool(copies) and (i, _text_hash(t)) in copies for i, t in zip(ids, texts, strict=True)]
+        del texts
         numbers: dict[bytes, int] = {}
-        automaton, tables = _phrases(parted, ids, wanted, width, numbers)
-        if tables:
+        automaton, pieces = _phrases(parted, ids, wanted.filter(pc.greater_equal(wanted.column("at"), 0)), width, numbers)
+        if pieces:
             automaton.make_automaton()
         kept, removed, number = [], [], numbers.get
-        for i, words in zip(ids, parted, strict=True):
-            gone, starts = 0, []
-            if tables and len(words) >= width:
-                told = tuple([number(w, 0) for w in words])
-                last = len(told) - width
-                for end, n in automaton.iter(told):
-                    table, begin = tables[n], end - piece + 1
-                    for s in range(max(0, end - width + 1), min(begin, last) + 1):
-                        if table.get(told[s : s + width], i) < i:
-                            starts.append(s)
-            if starts:
-                places = np.unique(np.array(starts))
-                edges = np.zeros(len(words) + 1, np.int64)
-                edges[places] += 1
-                edges[places + width] -= 1
-                stay = np.cumsum(edges[:-1]) == 0
-                gone = len(words) - int(stay.sum())
-                words = list(compress(words, stay.tolist()))
+        for i, words, copy in zip(ids, parted, copied, strict=True):
+            gone = 0
+            if len(words) >= width and copy:
+                gone, words = len(words), []
+            elif len(words) >= width and pieces:
+                starts = _hits(automaton, pieces, tuple([number(w, 0) for w in words]), i, width)
+                if starts:
+                    places = np.unique(np.array(starts))
+                    edges = np.zeros(len(words) + 1, np.int64)
+                    edges[places] += 1
+                    edges[places + width] -= 1
+                    stay = np.cumsum(edges[:-1]) == 0
+                    gone = len(words) - int(stay.sum())
+                    words = list(compress(words, stay.tolist()))
             kept.append(b" ".join(words))
             removed.append(gone)
         give_back()
@@ -251,6 +311,13 @@ def _remove(width: int):
     return remove
 
 
+def _whole_copies(plain: DataFrame) -> DataFrame:
+    """(id, h): rows whose text a smaller id has too, with a hash of the text."""
+    rows = plain.select("id", F.unhex(F.sha2("text", 256)).alias("digest"), F.xxhash64("text").alias("h"))
+    firsts = materialize(rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first"))
+    return semi_by_size(rows, firsts, ["digest"], "inner").where("id > first").select("id", "h").distinct()
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """``key``, n_words, n_removed, kept (the words that stay, joined by spaces)."""
     plain = docs.select(
@@ -264,9 +331,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     recurring = map_batches(seeds.repartition(meeting).sortWithinPartitions("settled", "seed"), _recurring, "seed long, id long")
     sharded = plain.withColumn("shard", shard)
     grouped = sharded.groupBy("shard")
-    windows = grouped.cogroup(recurring.withColumn("shard", shard).groupBy("shard")).applyInArrow(_confirm(width), "window long, check int, low long, at int, more boolean")
-    owner = F.min("low").over(Window.partitionBy("window", "check"))
-    wanted = windows.withColumn("owner", owner).where("owner < low or more")
-    wanted = wanted.select(F.pmod(F.xxhash64("low"), F.lit(shards)).cast("int").alias("shard"), "low", "at", "check", "owner")
+    copies = materialize(_whole_copies(plain)).withColumn("shard", shard)
+    asked = recurring.select(shard.alias("shard"), "seed", "id", F.lit(False).alias("copy")).unionByName(copies.select("shard", F.col("h").alias("seed"), "id", F.lit(True).alias("copy")))
+    windows = grouped.cogroup(asked.groupBy("shard")).applyInArrow(_confirm(width), "window long, low long, packed long")
+    check = F.shiftright("packed", 32).cast("int")
+    owner = F.min("low").over(Window.partitionBy("window", check))
+    wanted = windows.withColumn("owner", owner).where((F.col("owner") < F.col("low")) | (F.col("packed").bitwiseAND(F.lit(1)) == 1))
+    at = F.shiftright(F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int")
+    wanted = wanted.select(F.pmod(F.xxhash64("low"), F.lit(shards)).cast("int").alias("shard"), "low", at.alias("at"), check.alias("check"), "owner")
+    wanted = wanted.unionByName(copies.select("shard", F.col("id").alias("low"), F.lit(-1).alias("at"), F.lit(0).alias("check"), F.col("h").alias("owner")))
     out = grouped.cogroup(wanted.groupBy("shard")).applyInArrow(_remove(width), "key long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("key", key)

@@ -20,10 +20,12 @@ def in_process(rows, shards):
         own = [(i, t or "") for i, t in rows if i % shards == n]
         docs = pa.table({"key": [i for i, _ in own], "id": [i for i, _ in own], "text": [t for _, t in own], "shard": [n] * len(own)})
         pairs = {(s, i) for i, t in own for s in substring_dedup._seed_of(WordHashes().of(split(t.encode())), WIDTH).view(np.int64).tolist()}
-        seeds = pa.table({"seed": pa.array([s for s, _ in pairs], pa.int64()), "id": pa.array([i for _, i in pairs], pa.int64())})
+        seeds = pa.table({"seed": pa.array([s for s, _ in pairs], pa.int64()), "id": pa.array([i for _, i in pairs], pa.int64()), "copy": pa.array([False] * len(pairs), pa.bool_())})
         tables.append(docs)
         found.append(substring_dedup._confirm(WIDTH)(docs, seeds).to_pandas())
     windows = pd.concat(found)
+    packed = windows.packed.to_numpy(np.int64)
+    windows["check"], windows["at"], windows["more"] = (packed >> 32).astype(np.int32), (packed & 0xFFFFFFFF) >> 1, (packed & 1) == 1
     windows["owner"] = windows.groupby(["window", "check"])["low"].transform("min")
     wanted = windows[(windows.owner < windows.low) | windows.more]
     out = []
