@@ -122,6 +122,23 @@ def matching(deals: DataFrame, q: DealQuery, now: datetime) -> DataFrame:
     return deals.where(predicate(q, now, deals.columns))
 
 
+def by_slug(deals: DataFrame, slug: str) -> DataFrame:
+    """Lookups go past status and age."""
+    return deals.where(F.col("slug") == slug)
+
+
+def by_ids(deals: DataFrame, ids: list[str]) -> DataFrame:
+    return deals.where(F.col("id").isin(*ids))
+
+
+def by_domain(merchants: DataFrame, domain: str) -> DataFrame:
+    return merchants.where(F.col("domain") == domain.lower())
+
+
+def by_store(stores: DataFrame, store: str) -> DataFrame:
+    return stores.where(F.col("id") == store)
+
+
 def listing(deals: DataFrame, q: DealQuery, now: datetime) -> DataFrame:
     """A page: top-k by the sort, without a full sort."""
     out = matching(deals, q, now).orderBy(*ordering(q.sort, deals.columns))
@@ -209,6 +226,31 @@ def from_params(query: str, page_size: int = 24) -> DealQuery:
     return DealQuery(**out)
 
 
+#: Arguments of a tool, by field of the query.
+_ARGUMENTS = {
+    "search": "search", "categories": "categories", "departments": "departments", "merchant_slugs": "merchants", "families": "families", "brands": "brands",
+    "min_discount_pct": "min_discount_pct", "coupon_only": "coupon_only", "in_stock_only": "in_stock_only", "verified_only": "verified_only",
+    "exclude_suspect": "exclude_suspect", "sort": "sort", "limit": "limit",
+}
+
+
+def from_tool_args(args: dict) -> DealQuery:
+    """A tool's arguments: prices in dollars, 12 rows unless told otherwise; what is not known raises."""
+    out: dict = {"limit": 12}
+    for name, value in args.items():
+        if value is None:
+            continue
+        if name in ("min_price_dollars", "max_price_dollars"):
+            out[name.removesuffix("_dollars")] = math.floor(value * 100 + 0.5)
+        elif name in _ARGUMENTS:
+            out[_ARGUMENTS[name]] = tuple(value) if isinstance(value, list) else value
+        else:
+            raise ValueError(f"{name}: unknown argument")
+    if out.get("sort", "hottest") not in SORTS:
+        raise ValueError("sort: unknown value")
+    return DealQuery(**out)
+
+
 def to_params(q: DealQuery) -> str:
     out: list[tuple[str, str]] = [("q", q.search)] if q.search else []
     out += [(name, ",".join(getattr(q, attribute))) for name, (attribute, _) in _LISTS.items() if getattr(q, attribute)]

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical_url, fingerprint
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back, so that an iteration does not pile up its plan."""
+def saved(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back, so that what follows starts from a table."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/bargainry-scratch"
-    path = f"{root.rstrip('/')}/bargainry/{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    path = f"{(root or tempfile.gettempdir() + '/bargainry-scratch').rstrip('/')}/bargainry/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -26,14 +28,14 @@ def clusters(memberships: DataFrame) -> DataFrame:
     The cluster is its least id.  Least labels spread from keys to ids and back; both steps
     aggregate on the map side, so a frequent key moves one row per task.
     """
-    members = _saved(memberships.distinct())
+    members = saved(memberships.distinct())
     labels = members.groupBy("id").agg(F.min("id").alias("cluster"))
     while True:
         by_key = members.join(labels, "id").groupBy("key").agg(F.min("cluster").alias("cluster"))
-        after = _saved(members.join(by_key, "key").groupBy("id").agg(F.min("cluster").alias("cluster")))
+        after = saved(members.join(by_key, "key").groupBy("id").agg(F.min("cluster").alias("cluster")))
         # a cluster's own label may have moved on
         jump = after.select(F.col("id").alias("cluster"), F.col("cluster").alias("to"))
-        after = _saved(after.join(jump, "cluster", "left").select("id", F.coalesce("to", "cluster").alias("cluster")))
+        after = saved(after.join(jump, "cluster", "left").select("id", F.coalesce("to", "cluster").alias("cluster")))
         if after.join(labels.withColumnRenamed("cluster", "before"), "id").where("cluster != before").isEmpty():
             return after
         labels = after

@@ -35,9 +35,8 @@ def _ends(spark, sf_dir):
 _LETTERS = "ABCEGHJKLMNPRSTVXYZ"
 
 
-def _values(table: str) -> str:
-    rows = [line.split(" ", 3) for line in table.strip().split("\n")]
-    return ", ".join("('{}', {}, {}, '{}')".format(k, lat, lng, label.replace("'", "''")) for k, lat, lng, label in rows)
+def _values(table: tuple) -> str:
+    return ", ".join("('{}', {}, {}, '{}')".format(k, lat, lng, label.replace("'", "''")) for k, lat, lng, label in table)
 
 
 @query(
