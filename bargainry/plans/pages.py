@@ -451,7 +451,7 @@ def _raw(spark, sf_dir, condition: str) -> DataFrame:
     site = F.concat(F.lit("m"), "merchant_id", F.lit(".ca"))
     dollars = lambda c: F.format_string("%.2f", F.col(c) / 100)
     return as_raw(
-        rows, source=F.concat(F.lit("s"), (F.col("merchant_id").cast("long") % 3).cast("string")), source_id=F.col("key"), title=F.when(F.col("votes") == 7, "x").otherwise(F.concat(F.lit("Item "), F.col("product_key"), F.lit(" of many"))),
+        rows, source=F.concat(F.lit("s"), (F.col("merchant_id").cast("long") % 3).cast("string")), source_id=F.col("key"), title=F.when(F.col("votes") == 7, "x").otherwise(F.concat(F.lit("Item P"), F.lpad("product_key", 7, "0"), F.lit(" of many"))),
         url=F.concat(F.lit("https://www."), site, F.lit("/p/"), "product_key", F.lit("?utm_source=x")), price=dollars("price_now"), price_was=dollars("price_was"), mpn=F.concat(F.lit("P"), F.lpad("product_key", 7, "0")),
         votes=F.col("votes").cast("double"), posted_at=F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
     )
@@ -486,26 +486,21 @@ def _run_deals(spark, sf_dir):
 
 
 @query(
-    "q110b_run_points",
-    f"""{_RUN} SELECT key AS source_id, price_now AS price, TIMESTAMP '{_FIRST_RUN}' AS observed_at FROM a
-        UNION ALL SELECT b.key, b.price_now, TIMESTAMP '{mart.NOW}' FROM b LEFT JOIN a USING (key) WHERE a.key IS NULL OR a.price_now <> b.price_now""",
+    "q110b_run_tables",
+    f"""{_RUN}, old AS (SELECT *, TIMESTAMP '{_FIRST_RUN}' AS seen FROM first_run), new AS (SELECT *, TIMESTAMP '{mart.NOW}' AS seen FROM second_run)
+        SELECT 'point' AS part, key AS name, TIMESTAMP '{_FIRST_RUN}' AS seen, price_now AS n FROM a
+        UNION ALL SELECT 'point', b.key, TIMESTAMP '{mart.NOW}', b.price_now FROM b LEFT JOIN a USING (key) WHERE a.key IS NULL OR a.price_now <> b.price_now
+        UNION ALL SELECT 'found', 's' || (CAST(merchant_id AS BIGINT) % 3), seen, count(*) FROM (SELECT * FROM old UNION ALL SELECT * FROM new) GROUP BY ALL
+        UNION ALL SELECT 'dropped', 's' || (CAST(merchant_id AS BIGINT) % 3), seen, count_if(votes = 7) FROM (SELECT * FROM old UNION ALL SELECT * FROM new) GROUP BY ALL
+        UNION ALL SELECT 'total', unnest(['sources', 'total_found', 'total_dropped', 'total_new', 'total_updated']), NULL, unnest([3, (SELECT count(*) FROM second_run), (SELECT count(*) FROM second_run WHERE votes = 7), count_if(a.key IS NULL), count(a.key)])
+            FROM b LEFT JOIN a USING (key)
+        UNION ALL SELECT 'merchants', '', NULL, 2 + count(DISTINCT merchant_id) FROM (SELECT * FROM old UNION ALL SELECT * FROM new) WHERE merchant_id NOT IN ('1', '2')""",
 )
-def _run_points(spark, sf_dir):
+def _run_tables(spark, sf_dir):
     out = _two_runs(spark, sf_dir)
-    return out.points.join(out.deals.select(F.col("id").alias("deal_id"), "source_id"), "deal_id").select("source_id", "price", "observed_at")
-
-
-@query(
-    "q110c_run_totals",
-    f"{_RUN} SELECT 3 AS sources, (SELECT count(*) FROM second_run) AS total_found, (SELECT count(*) FROM second_run WHERE votes = 7) AS total_dropped, count_if(a.key IS NULL) AS total_new, count(a.key) AS total_updated FROM b LEFT JOIN a USING (key)",
-)
-def _run_totals(spark, sf_dir):
-    return _two_runs(spark, sf_dir).totals
-
-
-@query(
-    "q110d_run_log",
-    f"{_RUN} SELECT 's' || (CAST(merchant_id AS BIGINT) % 3) AS source, at AS started_at, count(*) AS items_found, count_if(votes = 7) AS items_dropped FROM (SELECT *, TIMESTAMP '{_FIRST_RUN}' AS at FROM first_run UNION ALL SELECT *, TIMESTAMP '{mart.NOW}' FROM second_run) GROUP BY ALL",
-)
-def _run_log(spark, sf_dir):
-    return _two_runs(spark, sf_dir).runs.select("source", "started_at", "items_found", "items_dropped")
+    points = out.points.join(out.deals.select(F.col("id").alias("deal_id"), "source_id"), "deal_id").select(F.lit("point").alias("part"), F.col("source_id").alias("name"), F.col("observed_at").alias("seen"), F.col("price").alias("n"))
+    log = [out.runs.select(F.lit(part).alias("part"), F.col("source").alias("name"), F.col("started_at").alias("seen"), F.col(f"items_{part}").alias("n")) for part in ("found", "dropped")]
+    sums = out.totals.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in out.totals.columns])).alias("x"))
+    sums = sums.select(F.lit("total").alias("part"), "x.name", F.lit(None).cast("timestamp_ntz").alias("seen"), "x.n")
+    count = out.merchants.agg(F.count(F.lit(1)).alias("n")).select(F.lit("merchants").alias("part"), F.lit("").alias("name"), F.lit(None).cast("timestamp_ntz").alias("seen"), "n")
+    return sets.union_all([points, *log, sums, count])
