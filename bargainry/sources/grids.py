@@ -208,7 +208,7 @@ def of_retailers(posts: DataFrame, retailers: DataFrame) -> DataFrame:
 
     A site's own and parent domains are looked up by equality; only names need a scan of the catalogue.
     """
-    known = [retailers.select(F.lower("domain").alias("__site")), retailers.select(F.lower(F.explode("dealers")).alias("__dealer"))]
+    known = [retailers.select(F.lower("domain").alias("__site")), retailers.select(F.explode("dealers").alias("d")).select(F.lower("d").alias("__dealer"))]
     labels = F.split(F.lower(F.coalesce("merchant_domain", registrable_domain("url"))), r"\.")
     sites = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
     marked = posts.withColumn("__n", F.monotonically_increasing_id())
