@@ -10,8 +10,6 @@ from ..functions.scalars import half_up, heat
 from ..schemas import COMPARABLE
 
 MARKET_LEAST, HISTORY_LEAST, NEAR_LOW, ANCHOR = 2, 3, 1.02, 1.25
-#: Prices that share all but these bits are summed together.
-STEP_BITS = 12
 
 
 def best_prices(deals: DataFrame) -> DataFrame:
@@ -23,17 +21,13 @@ def best_prices(deals: DataFrame) -> DataFrame:
 def ladder(prices: DataFrame) -> DataFrame:
     """product_key, price, n (the summed ``weight``), below (the weight at lower prices), total.
 
-    A product's prices are summed in ranges of 2**STEP_BITS, each a group of its own with a row
-    per price at most, and the totals of the ranges (a row each) give each range its start.
+    Prices are summed before a product's meet in its window, so a product of any number of
+    offers brings a row per different price.
     """
-    steps = prices.groupBy("product_key", "price").agg(F.sum("weight").alias("n")).withColumn("__step", F.shiftright("price", STEP_BITS))
-    within = Window.partitionBy("product_key", "__step").orderBy("price").rowsBetween(Window.unboundedPreceding, -1)
+    steps = prices.groupBy("product_key", "price").agg(F.sum("weight").alias("n"))
     product = Window.partitionBy("product_key")
-    before = product.orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)
-    starts = steps.groupBy("product_key", "__step").agg(F.sum("n").alias("__n"))
-    starts = starts.select("product_key", "__step", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(product).alias("total"))
-    rows = steps.withColumn("__inner", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, ["product_key", "__step"])
-    return rows.select("product_key", "price", "n", (F.col("__inner") + F.col("__start")).alias("below"), "total")
+    lower = product.orderBy("price").rowsBetween(Window.unboundedPreceding, -1)
+    return steps.withColumns({"below": F.coalesce(F.sum("n").over(lower), F.lit(0)), "total": F.sum("n").over(product)})
 
 
 def markets(best: DataFrame) -> DataFrame:

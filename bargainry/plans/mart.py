@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import discount, half_up
 
@@ -84,9 +85,8 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest offer of each product and merchant since SPLIT, with the product's fields."""
     recent = offers(spark, sf_dir).where(F.col("observed_at") >= F.lit(SPLIT).cast("timestamp_ntz"))
-    rest = [c for c in recent.columns if c not in ("merchant_id", "product_key")]
-    latest = recent.groupBy("product_key", "merchant_id").agg(F.max(F.struct("observed_at", "id", *[c for c in rest if c not in ("observed_at", "id")])).alias("x"))
-    latest = latest.select("product_key", "merchant_id", *[F.col(f"x.{c}").alias(c) for c in rest])
+    newest = Window.partitionBy("product_key", "merchant_id").orderBy(F.desc("observed_at"), F.desc("id"))
+    latest = recent.withColumn("__rank", F.row_number().over(newest)).where("__rank = 1").drop("__rank")
     return latest.join(products(spark, sf_dir), "product_key")
 
 

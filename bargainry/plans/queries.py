@@ -13,6 +13,7 @@ from ..functions import scalars, text
 from ..operators import dealquery as dq
 from ..operators import evaluate, history, mutations, verify
 from ..operators.dealquery import DealQuery
+from ..operators.dedupe import saved
 from ..streaming import ingest
 from . import mart
 from .mart import oracle
@@ -33,7 +34,8 @@ def query(name: str, sql: str | None = None):
 
 
 def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.verify(mart.deals(spark, sf_dir), mart.price_points(spark, sf_dir), mart.now())
+    """The deals with verdicts.  Rivals, histories and the deals themselves read the deals, so they are written once."""
+    return verify.verify(saved(mart.deals(spark, sf_dir)), mart.price_points(spark, sf_dir), mart.now())
 
 
 def related(spark: SparkSession, sf_dir: str, deals: DataFrame | None = None) -> DataFrame:
@@ -200,10 +202,9 @@ def _deals_near(spark, sf_dir):
 # Series -----------------------------------------------------------------------------------
 
 
-@query("q28_price_history", oracle("SELECT id, product_key, merchant_id, price, observed_at FROM price_points WHERE product_key IN ('7', '42', '99')", "price_points"))
+@query("q28_price_history", oracle("SELECT id, product_key, merchant_id, price, observed_at FROM price_points WHERE product_key IN (SELECT product_key FROM deals)", "price_points", "deals"))
 def _history(spark, sf_dir):
-    keys = spark.createDataFrame([("7",), ("42",), ("99",)], "product_key string")
-    return history.price_history(mart.price_points(spark, sf_dir), keys)
+    return history.price_history(mart.price_points(spark, sf_dir), mart.deals(spark, sf_dir))
 
 
 @query(
