@@ -57,6 +57,17 @@ def test_quality_without_labels(docs, spark):  # noqa: F811
     assert docs.where("doc_id is null").select(quality.held_out(F.col("doc_id")).alias("h")).first().h is False
 
 
+def test_quality_is_the_same_at_every_place():
+    rng = np.random.default_rng(3)
+    rows = rng.random((400, 14 + quality.BINS)).astype(np.float32)
+    model = quality.fit_rows(rows, rng.random(400) < 0.5, pairs=500, steps=3)
+    one = quality.features(["One text, that is scored at every place. " * 9], quality.Bins())
+    found = {s for n in range(1, 1001) for s in model.scores(np.repeat(one, n, axis=0)).tolist()}
+    assert len(found) == 1
+    mixed = np.concatenate([rows, one, rows[:77], one, one])
+    assert {model.scores(mixed)[i] for i in (400, 478, 479)} == found
+
+
 def test_quality_fit_is_a_minimum():
     """The fitted weights have no slope, by the loss written out pair by pair; scores follow from them."""
     rng = random.Random(3)
