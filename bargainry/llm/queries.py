@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fingerprint, mixing, near_dedup, quality, sharding, substring_dedup, toxicity
+from . import ball_tree, bpe, chat, exact_dedup, fingerprint, mixing, near_dedup, pivots, quality, sharding, substring_dedup, toxicity
 from .common import WORD, table
 
 #: Where the public tokenizers' files are, by name.
@@ -93,6 +93,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return pivots.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_sharding": op2_sharding,
@@ -104,6 +113,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality": op10_quality,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_top_k": op12_top_k,
 }
 
 
@@ -114,7 +125,30 @@ def _escaped_sql(col: str) -> str:
     return out
 
 
+def _whole_sql(scale: int, where: str = "true", label: str = "label") -> str:
+    return f"""
+        SELECT vec_id, {label} AS label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS v FROM embeddings
+        WHERE {where} AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
 ORACLE_SQL = {
+    "op11_hard_negatives": f"""
+        WITH e AS ({_whole_sql(256, "label IS NOT NULL", "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")}),
+        s AS (SELECT a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+              FROM e a JOIN e c ON a.vec_id % 100 = 0 AND c.vec_id IS DISTINCT FROM a.vec_id AND len(c.v) = len(a.v)),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id NULLS LAST) <= 5),
+        n AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+                     CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank
+              FROM p JOIN s USING (anchor_id)
+              WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+    "op12_top_k": f"""
+        WITH e AS ({_whole_sql(1024)}),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+              FROM e q JOIN e c ON q.vec_id % 100 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id AND len(c.v) = len(q.v)),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op3_exact_dedup": f"""
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id,
