@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, bpe, chat, exact_dedup, fingerprint, mixing, near_dedup, pivots, quality, sharding, substring_dedup, toxicity
+from . import ball_tree, bpe, chat, exact_dedup, fingerprint, mixing, near_dedup, pivots, prefix_trie, quality, sharding, substring_dedup, toxicity
 from .common import WORD, table
 
 #: Where the public tokenizers' files are, by name.
@@ -102,6 +102,13 @@ def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, lengths = prefix_trie.turns(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv")
+    rows, lengths = prefix_trie.with_heads(rows, lengths, conv - conv % 20, F.crc32(conv.cast("string")) % 4, most=3)
+    return prefix_trie.trie(rows, lengths)
+
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_sharding": op2_sharding,
@@ -115,6 +122,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_top_k": op12_top_k,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 
@@ -149,6 +157,29 @@ ORACLE_SQL = {
               FROM e q JOIN e c ON q.vec_id % 100 = 0 AND c.vec_id IS DISTINCT FROM q.vec_id AND len(c.v) = len(q.v)),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id NULLS LAST) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op13_prefix_trie": f"""
+        WITH t AS (
+            SELECT conv_id AS c, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+                   len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+        o AS (SELECT c, k, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS pos FROM t),
+        convs AS (SELECT c, count(*) AS n FROM o GROUP BY c),
+        crc AS (SELECT c, xor(4294967295, list_reduce([4294967295::BIGINT] || [ord(x)::BIGINT for x in string_split(CAST(c AS VARCHAR), '')],
+                    lambda a, b: list_reduce([xor(a, b)] || range(8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 4 AS h FROM convs),
+        plan AS (SELECT c, h, c - c % 20 AS base, least(h, coalesce(b.n, 0)) AS taken FROM crc LEFT JOIN (SELECT c AS base_c, n FROM convs) b ON b.base_c = c - c % 20),
+        r AS (SELECT plan.c, pos AS depth, k, words FROM plan JOIN o ON o.c = plan.base AND pos <= h
+              UNION ALL SELECT plan.c, pos - h + taken, k, words FROM plan JOIN o ON o.c = plan.c AND pos > h),
+        p AS (SELECT c, depth, words, list(k) OVER (PARTITION BY c ORDER BY depth ROWS UNBOUNDED PRECEDING) AS path FROM r
+              UNION ALL SELECT c, 0, 0, [] FROM convs),
+        lens AS (SELECT c, max(depth) AS size FROM p GROUP BY c),
+        nodes AS (SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+                         sha256(coalesce(string_agg(CASE WHEN size = depth THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256
+                  FROM p JOIN lens USING (c) GROUP BY path, depth),
+        kids AS (SELECT path[:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+        own AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children, kids.n IS NULL AS leaf, (n_convs - 1) * words AS saved FROM nodes LEFT JOIN kids USING (path)),
+        subtree AS (SELECT path[:top] AS path, sum(saved) AS saved, count(*) FILTER (leaf) AS leaves FROM (SELECT *, unnest(range(0, depth + 1)) AS top FROM own) GROUP BY 1)
+        SELECT own.conv_id, CAST(own.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, CAST(own.n_convs AS BIGINT) AS n_convs, CAST(own.n_children AS BIGINT) AS n_children,
+               CAST(subtree.leaves AS BIGINT) AS n_leaves, CAST(subtree.saved AS BIGINT) AS saved_tokens, own.ends_sha256
+        FROM own JOIN subtree USING (path) LEFT JOIN own up ON own.depth > 0 AND up.path = own.path[:own.depth - 1]""",
     "op3_exact_dedup": f"""
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id,
