@@ -10,16 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import let
 from ..functions.text import registrable_domain
 from .payloads import as_raw, resolve
+from .selectors import around, every, first, select
 from .storefronts import _filled, _first, _found, objects_under
 
-# Classes of a grid's tiles, prices and names, in the order that they are tried.
-TILES = ("product-tile", "grid-tile", "product-grid-tile")
-SALE_PRICES = (("sales", "value"), ("price-sales", "value"), ("sales",))
-LIST_PRICES = (("strike-through", "value"), ("price-standard", "value"), ("list", "value"), ("strike-through",))
-NAMES = (("pdp-link", "a"), ("link",), ("product-name", "a"), ("name-link",), ("product-name-link",), ("tile-body", "a"))
+# A grid's tiles, prices and names, in the order that they are tried.
+TILES = (".product-tile", ".product[data-pid]", ".grid-tile", ".product-grid-tile")
+SALE_PRICES = (".sales .value", ".price-sales .value", ".sales")
+LIST_PRICES = (".strike-through .value", ".price-standard .value", ".list .value", ".strike-through")
+NAMES = (".pdp-link a", ".link", ".product-name a", ".name-link", ".product-name-link", ".tile-body a")
 NO_NAMES = "quickview|swatch|wishlist|compare|quick-view|colou?r"
 SOLD_OUT = "(?i)out of stock|sold out|épuisé"
 #: What the handle of a sale collection and the path of a sale page contain.
@@ -28,69 +28,63 @@ SALE_PATH = r"(?i)\b(sale|clearance|outlet|deals|markdown|solde|liquidation)\b"
 SALE_LINK = "sale|clearance|outlet|markdown|final|last-chance"
 
 
-def _classed(name: str) -> str:
-    """An opening tag's attributes with the class."""
-    return rf'[^>]*\bclass\s*=\s*["\'](?:[^"\']*\s)?{name}(?:\s[^"\']*)?["\'][^>]*'
+def _clean(text: Column) -> Column:
+    return F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(tag, rf'(?is)\b{name}\s*=\s*["\']([^"\']*)["\']', 1), F.lit(""))
+def _attribute(match: Column, name: str) -> Column:
+    return F.nullif(F.try_element_at(match["attributes"], F.lit(name)), F.lit(""))
 
 
-def _clean(text: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", ""), r"\s+", " ")), F.lit(""))
+def _number(match: Column) -> Column:
+    """A price above 0: the content attribute, else the text, a lone comma being a decimal point."""
+    written = F.regexp_replace(match["text"], r"[^\d.,]", "")
+    plain = F.when(written.contains(",") & ~written.contains("."), F.regexp_replace(written, "^([^,]*),", "$1.")).otherwise(written)
+    numbers = [_attribute(match, "content").try_cast("double"), F.replace(plain, F.lit(","), F.lit("")).try_cast("double")]
+    return F.coalesce(*[F.when((n > 0) & (n < float("inf")), n) for n in numbers])
 
 
-def _price(tile: Column, selectors: tuple[tuple[str, ...], ...]) -> Column:
-    """The first selector's price above 0: its content attribute, else its text, a lone comma as decimal point."""
-    found = []
-    for selector in selectors:
-        lead = "".join(rf"<\w+\b{_classed(c)}>.*?" for c in selector[:-1])
-        tag, text = (F.regexp_extract(tile, rf"(?is){lead}<\w+\b({_classed(selector[-1])})>([^<]*)", n) for n in (1, 2))
-        written = F.regexp_replace(text, r"[^\d.,]", "")
-        plain = F.when(written.contains(",") & ~written.contains("."), F.regexp_replace(written, "^([^,]*),", "$1.")).otherwise(written)
-        for number in (_attribute(tag, "content").try_cast("double"), F.replace(plain, F.lit(","), F.lit("")).try_cast("double")):
-            found.append(F.when(number > 0, number))
-    return F.coalesce(*found)
+def _present(matches: str) -> Column:
+    return F.filter(matches, lambda m: m.isNotNull())
 
 
-def _named(tile: Column) -> Column:
-    """struct(title, href) of the tile's product."""
-    anchors = F.arrays_zip(
-        F.regexp_extract_all(tile, F.lit(r"(?is)<a\b([^>]*)>.*?</a>"), F.lit(1)).alias("tag"), F.regexp_extract_all(tile, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), F.lit(1)).alias("text")
+def _price(matches: str) -> Column:
+    """The price of the first selector that gives one."""
+    return F.get(F.filter(F.transform(_present(matches), _number), lambda n: n.isNotNull()), F.lit(0))
+
+
+def _named() -> Column:
+    """struct(title, href) of the tile's product: of a known name, else of the first anchor that reads like one, else of a name or picture."""
+    named = F.get(_present("names"), F.lit(0))
+    any_link = F.get(F.filter(F.transform("anchors", lambda a: _attribute(a, "href")), lambda x: x.isNotNull()), F.lit(0))
+    href = F.coalesce(_attribute(named, "href"), any_link)
+    reads = F.get(F.filter("anchors", lambda a: _clean(a["text"]).isNotNull() & ~F.coalesce(_attribute(a, "class"), F.lit("")).rlike("(?i)" + NO_NAMES)), F.lit(0))
+    title = _clean(named["text"])
+    other = F.when(reads.isNotNull(), F.struct(_clean(reads["text"]).alias("title"), _attribute(reads, "href").alias("href"))).otherwise(
+        F.struct(F.coalesce(_clean(F.get("below", F.lit(0))["text"]), _clean(_attribute(F.get("picture", F.lit(0)), "alt"))).alias("title"), href.alias("href"))
     )
-    titles, links = [], []
-    for selector in NAMES:
-        lead = "".join(rf"<\w+\b{_classed(c)}>.*?" for c in selector[:-1])
-        last = r"<a\b([^>]*)>(.*?)</a>" if selector[-1] == "a" else rf"<a\b({_classed(selector[-1])})>(.*?)</a>"
-        titles.append(_clean(F.regexp_extract(tile, f"(?is){lead}{last}", 2)))
-        links.append(_attribute(F.regexp_extract(tile, f"(?is){lead}{last}", 1), "href"))
-    named = F.get(F.filter(anchors, lambda a: _attribute(a["tag"], "href").isNotNull() & _clean(a["text"]).isNotNull() & ~F.coalesce(_attribute(a["tag"], "class"), F.lit("")).rlike("(?i)" + NO_NAMES)), F.lit(0))
-    any_link = _attribute(F.get(F.filter(anchors, lambda a: _attribute(a["tag"], "href").isNotNull()), F.lit(0))["tag"], "href")
-    below = _clean(F.regexp_extract(tile, rf"(?is)<\w+\b{_classed('product-name')}>([^<]*)", 1))
-    picture = _clean(_attribute(F.regexp_extract(tile, r"(?is)<img\b([^>]*\balt\s*=[^>]*)>", 1), "alt"))
-    title = F.coalesce(*titles)
-    return F.struct(F.coalesce(title, _clean(named["text"]), below, picture).alias("title"), F.coalesce(*links, F.when(title.isNull(), _attribute(named["tag"], "href")), any_link).alias("href"))
+    return F.when(title.isNotNull(), F.struct(title.alias("title"), href.alias("href"))).otherwise(other)
 
 
 def grid(payloads: DataFrame, site: str, domain: str, name: str | None = None, department: str | None = None) -> DataFrame:
-    """Tiles of a product grid (HTML) with a sale price below the list price."""
-    start = "|".join(rf"<\w+\b(?={_classed(c)}>)" for c in TILES) + rf"|<\w+\b(?={_classed('product')}>)(?=[^>]*\bdata-pid)"
-    chunks = F.slice(F.split("payload", f"(?is)(?={start})"), 2, 1 << 30)
-    pid = lambda c: _attribute(c, "data-pid")
-    # a wrapper around a tile is a piece of its own without an anchor; its id is the tile's
-    tiles = F.transform(chunks, lambda c, i: F.struct(c.alias("tile"), F.coalesce(pid(c), F.when(~F.get(chunks, i - 1).rlike(r"(?i)<a\b"), pid(F.get(chunks, i - 1)))).alias("pid")))
-    df = payloads.select("source", "payload").select("source", F.posexplode(tiles).alias("at", "t")).select("source", F.struct("at", F.xxhash64("t.tile")).alias("place"), "t.tile", "t.pid")
-    df = df.withColumn("n", _named(F.col("tile"))).where("n.title is not null and n.href is not null")
-    df = df.withColumns({"url": resolve(F.lit(site + "/"), F.col("n.href")), "now": _price(F.col("tile"), SALE_PRICES), "before": _price(F.col("tile"), LIST_PRICES)})
-    df = _first(df.where("before > now"), "source", "url")
-    image = F.regexp_extract("tile", r"(?is)<img\b([^>]*)>", 1)
-    brand = F.coalesce(*[_clean(F.regexp_extract("tile", rf"(?is)<\w+\b{_classed(c)}>([^<]*)", 1)) for c in ("product-brand", "brand")])
+    """Tiles of a product grid (a page or a fragment of one) with a sale price below the list price.
+
+    A product's id is the tile's, or that of an element inside, or around it.
+    """
+    fields = {"inside": first("[data-pid]"), "outside": around("[data-pid]"), "names": first(*NAMES), "anchors": every("a[href]"), "below": first(".product-name"), "picture": first("img[alt]")}
+    fields |= {"sale": first(*SALE_PRICES), "list": first(*LIST_PRICES), "image": first("img"), "label": first(".product-brand, .brand")}
+    df = select(payloads, "payload", ", ".join(TILES), fields, ("source", "payload"))
+    df = df.withColumn("place", F.struct("place", F.xxhash64("payload"))).drop("payload")
+    ids = (F.col("row"), F.get("inside", F.lit(0)), F.get("outside", F.lit(0)))
+    df = df.withColumns({"n": _named(), "pid": F.coalesce(*[_attribute(m, "data-pid") for m in ids])}).where("n.title is not null and n.href is not null")
+    df = df.withColumns({"url": resolve(F.lit(site + "/"), F.col("n.href")), "now": _price("sale"), "before": _price("list")})
+    df = _first(df.where("before > now").drop("names", "anchors", "inside", "outside", "sale", "list"), "source", "url")
+    image = F.get("image", F.lit(0))
     return as_raw(
         df, source=F.col("source"), source_id=F.concat(F.lit(f"{domain}:"), F.coalesce("pid", "url")), title=F.col("n.title"), url=F.col("url"),
         image_url=resolve(F.lit(site + "/"), F.coalesce(*[_attribute(image, a) for a in ("data-src", "data-original", "src")])), price=F.col("now"), price_was=F.col("before"),
-        currency=F.lit("CAD"), merchant_domain=F.lit(domain), merchant_name=F.lit(name), department_hint=F.lit(department), brand=brand, mpn=F.col("pid"),
-        in_stock=~F.regexp_replace("tile", "<[^>]*>", " ").rlike(SOLD_OUT),
+        currency=F.lit("CAD"), merchant_domain=F.lit(domain), merchant_name=F.lit(name), department_hint=F.lit(department), brand=_clean(F.get("label", F.lit(0))["text"]), mpn=F.col("pid"),
+        in_stock=~F.col("row.text").rlike(SOLD_OUT),
     )
 
 

@@ -1,8 +1,8 @@
 """Payloads to raw listings.
 
 A parser takes a table with the columns source and payload (a whole response per row) and
-returns the columns of ``schemas.RAW``.  Parsing is column expressions only, so files of
-payloads are read, parsed and normalised without a Python worker; a payload that is not what
+returns the columns of ``schemas.RAW``.  Parsing is column expressions; only elements of HTML that are
+looked for by selectors come from Arrow batches (``selectors``).  A payload that is not what
 the parser expects gives no rows.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import let
 from ..functions.text import strip_html
 from ..schemas import RAW
+from .selectors import every, first, select
 
 #: Names of columns that feeds use, by field.
 FEED_NAMES = {
@@ -215,17 +216,65 @@ def product_page(pages: DataFrame) -> DataFrame:
     )
 
 
-def clearance(pages: DataFrame, site: str) -> DataFrame:
-    """Rows of an in-store table: title, clearance price, regular price, quantity, aisle."""
-    rows = pages.select("source", F.explode(F.regexp_extract_all("payload", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("row"))
-    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(c, "<[^>]*>", "")))
-    rows = rows.withColumn("c", cells).where("size(c) >= 4 and length(c[0]) >= 3")
-    quantity = F.regexp_extract(F.get("c", F.lit(3)), r"\d+", 0).try_cast("int")
-    link = F.regexp_extract("row", r"(?is)href\s*=\s*[\"']([^\"']+)", 1)
-    note = F.concat_ws(" · ", F.concat(quantity.cast("string"), F.lit(" in stock")), F.concat(F.lit("Aisle "), F.nullif(F.get("c", F.lit(4)), F.lit(""))))
+def selected_links(pages: DataFrame, selector: str) -> DataFrame:
+    """source, url, place, link: the absolute targets of the elements that a selector finds on a page, each once, in order."""
+    found = select(pages, "payload", None, {"found": every(selector)}, ("source", "url"))
+    targets = F.transform("found", lambda m: F.nullif(F.try_element_at(m["attributes"], F.lit("href")), F.lit("")))
+    targets = F.array_distinct(F.transform(F.array_compact(targets), lambda x: resolve(F.col("url"), F.trim(x))))
+    return found.select("source", "url", F.posexplode(targets).alias("place", "link"))
+
+
+#: Where a page of in-store clearance has its items and their fields, if the caller gives no other selectors.
+CLEARANCE = {
+    "row": "table tbody tr, .clearance-item", "title": ".item-name, td:nth-child(1)", "price": ".clearance-price, td:nth-child(2)", "regular": ".regular-price, td:nth-child(3)",
+    "quantity": ".qty, td:nth-child(4)", "aisle": ".aisle, td:nth-child(5)", "link": "a",
+}
+#: Sites of the chains whose stores have such pages.
+CHAIN_SITES = {
+    "canadian-tire": "canadiantire.ca", "sportchek": "sportchek.ca", "walmart": "walmart.ca", "best-buy": "bestbuy.ca", "home-depot": "homedepot.ca", "marks": "marks.com", "atmosphere": "atmosphere.ca",
+}
+
+
+def clearance_items(pages: DataFrame, keep: tuple[str, ...], selectors: dict[str, str] | None = None) -> DataFrame:
+    """``keep``, place, and title, price, regular, quantity, aisle (texts, null if empty) and link of each item whose title has 3 characters.
+
+    ``selectors`` replaces those of CLEARANCE that it names; a field whose selector is None stays null.
+    """
+    known = CLEARANCE | (selectors or {})
+    fields = {f"f_{name}": first(s) for name, s in known.items() if name != "row" and s}
+    rows = select(pages, "payload", known["row"], fields, keep)
+    match = {name: F.get(f"f_{name}", F.lit(0)) if f"f_{name}" in fields else None for name in CLEARANCE}
+    null = F.lit(None).cast("string")
+    text = [F.nullif(F.regexp_replace(m["text"], r"^\s+|\s+$", ""), F.lit("")).alias(n) if m is not None else null.alias(n) for n, m in match.items() if n not in ("row", "link")]
+    link = F.try_element_at(match["link"]["attributes"], F.lit("href")) if match["link"] is not None else null
+    return rows.select(*keep, "place", *text, link.alias("link")).where(F.length("title") >= 3)
+
+
+def clearance(pages: DataFrame, site: str, selectors: dict[str, str] | None = None) -> DataFrame:
+    """Items of in-store tables, any row being one: title, clearance price, regular price, quantity (its first number), aisle."""
+    rows = clearance_items(pages, ("source",), {"row": "tr, .clearance-item"} | (selectors or {}))
+    quantity = F.regexp_extract("quantity", r"\d+", 0).try_cast("int")
+    note = F.concat_ws(" · ", F.concat(quantity.cast("string"), F.lit(" in stock")), F.concat(F.lit("Aisle "), F.col("aisle")))
+    return as_raw(
+        rows, source=F.col("source"), source_id=F.sha1(F.concat_ws("|", F.coalesce("link", F.lit("")), "title")), title=F.col("title"), url=resolve(F.lit(site), F.coalesce("link", F.lit(""))),
+        price=F.col("price"), price_was=F.col("regular"), in_stock=F.coalesce(quantity > 0, F.lit(False)), stock_note=note,
+    )
+
+
+def store_clearance(pages: DataFrame, base: str = "https://stocktrack.ca", path: str = "/clearance/{storeId}", selectors: dict[str, str] | None = None) -> DataFrame:
+    """Clearance of the stores whose pages these are (source, store_id, chain, payload), as a run's pool of it.
+
+    A listing is its store's and its title's; without an absolute link it leads to the store's page.
+    """
+    rows = clearance_items(pages, ("source", "store_id", "chain"), selectors)
+    slug = F.substring(F.regexp_replace(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 60)
+    page = F.replace(F.lit(base.rstrip("/") + path), F.lit("{storeId}"), F.url_encode("store_id"))
+    sites = F.create_map(*[F.lit(x) for pair in CHAIN_SITES.items() for x in pair])
+    note = F.concat_ws(" · ", F.concat("quantity", F.lit(" in stock")), F.concat(F.lit("Aisle "), F.col("aisle")))
     return as_raw(
-        rows, source=F.col("source"), source_id=F.sha1(F.concat_ws("|", link, F.get("c", F.lit(0)))), title=F.get("c", F.lit(0)), url=resolve(F.lit(site), link),
-        price=F.get("c", F.lit(1)), price_was=F.get("c", F.lit(2)), in_stock=F.coalesce(quantity > 0, F.lit(False)), stock_note=note,
+        rows, source=F.col("source"), source_id=F.concat("store_id", F.lit(":"), slug), title=F.col("title"), url=F.when(F.col("link").startswith("http"), F.col("link")).otherwise(page),
+        price=F.col("price"), price_was=F.col("regular"), currency=F.lit("CAD"), merchant_domain=F.coalesce(F.try_element_at(sites, F.col("chain")), F.lit("stocktrack.ca")),
+        store_id=F.col("store_id"), in_stock=~F.coalesce(F.col("quantity").rlike(r"^0\b"), F.lit(False)), stock_note=F.nullif(note, F.lit("")),
     )
 
 
