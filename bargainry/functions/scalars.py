@@ -34,6 +34,11 @@ def half_up(c: Column | str, digits: int = 0) -> Column:
     return rounded / F.lit(float(scale)) if digits else rounded
 
 
+def percent(share: Column) -> Column:
+    """A share in per cent with one digit, rounded once."""
+    return half_up(share * 1000) / 10
+
+
 def discount(now: Column | str, was: Column | str) -> Column:
     """struct(pct, abs, was); all null unless the earlier price stands up."""
     now, was = col(now), col(was)

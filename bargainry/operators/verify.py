@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import half_up, heat
+from ..functions.scalars import half_up, heat, percent
 from ..schemas import COMPARABLE
 
 MARKET_LEAST, HISTORY_LEAST, NEAR_LOW, ANCHOR = 2, 3, 1.02, 1.25
@@ -91,9 +91,9 @@ def assess(facts: DataFrame, now: Column) -> DataFrame:
     df = facts.withColumn("market_price", F.when(priced, market))
     df = df.withColumns(
         {
-            "market_discount_pct": F.when(F.col("market_price") > 0, half_up((F.col("market_price") - price) / F.col("market_price") * 100, 1)),
+            "market_discount_pct": F.when(F.col("market_price") > 0, percent((F.col("market_price") - price) / F.col("market_price"))),
             "__low": F.when(priced & known, F.col("prior_low")),
-            "price_rank_pct": F.when(priced & known, half_up(F.col("below") / F.col("points") * 100, 1)),
+            "price_rank_pct": F.when(priced & known, percent(F.col("below") / F.col("points"))),
             "__cheapest": F.when(comparable, F.col("rival_low")),
             "history_days": F.coalesce(F.greatest(F.lit(0.0), days), F.lit(0.0)),
             "claim_suspect": F.coalesce(F.col("price_was") > F.col("market_price") * ANCHOR, F.lit(False)),
