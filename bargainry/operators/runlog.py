@@ -9,9 +9,13 @@ from pyspark.sql.window import Window
 from ..functions.scalars import haversine_km
 from ..schemas import SOURCE_RUNS, USAGE
 from . import mutations
+from .dedupe import saved
 
 #: Sites that are never crawled.
 NO_CRAWL = ("amazon.ca", "amazon.com")
+#: Engines that an entry may name, and states that it may be in.
+ENGINES = ("shopify", "sfcc", "hybris", "gapinc", "magento", "wordpress", "jsonld", "feed")
+CATALOGUE_STATUSES = ("verified", "unverified", "blocked")
 #: Labels of a retailer's state in the directory.
 STATUS_LABELS = {"working": "Working", "unverified": "Unverified", "blocked": "Blocked"}
 
@@ -94,32 +98,57 @@ def sources_of(sources: DataFrame, families: list[str]) -> DataFrame:
 # Catalogue ------------------------------------------------------------------------------------
 
 
+def schema_errors(entries: DataFrame) -> Column:
+    """Every field of an entry that is missing or isn't what it has to be, in the order of the schema; columns that the table lacks count as null."""
+    has = {c for c in entries.columns}
+    at = lambda c, kind="string": F.col(c) if c in has else F.lit(None).cast(kind)
+    empty = lambda c: F.coalesce(at(c), F.lit("")) == ""
+    url = lambda c: at(c).rlike(r"(?i)^\s*(?:(?:https?|wss?|ftp):[/\\]*[^\s/\\?#@:]+|(?!(?:https?|wss?|ftp):)[a-z][a-z0-9+.-]*:)")
+    checks = [F.when(empty(c), f"{c} is missing") for c in ("id", "name", "domain", "base_url")]
+    checks.append(F.when(~empty("base_url") & ~url("base_url"), "base_url is not a URL"))
+    checks.append(F.when(empty("engine"), "engine is missing").when(~at("engine").isin(*ENGINES), "engine is unknown"))
+    checks.append(F.when(~url("hybris_api_base"), "hybris_api_base is not a URL"))
+    checks += [F.when(~(at(c, "double") > 0), f"{c} is not positive") for c in ("rate_limit_rps", "max_product_pages")]
+    checks.append(F.when(~at("status").isin(*CATALOGUE_STATUSES), "status is unknown"))
+    return F.array_compact(F.array(*checks))
+
+
+def accepted(entries: DataFrame) -> DataFrame:
+    """Of (place, id, domain): those that are taken one after the other, each id and each domain once.
+
+    An entry that is refused takes neither, so that a later one may.  In each round, those go
+    in that come first among what is left of both their id and their domain; what shares
+    either with them goes.  The first of what is left always goes in, and mostly nearly all,
+    so that the rounds are few.
+    """
+    left, chosen = saved(entries.select("place", "id", "domain")), None
+    while not left.isEmpty():
+        firsts = left.join(left.groupBy("id").agg(F.min("place").alias("of_id")), "id").join(left.groupBy("domain").agg(F.min("place").alias("of_domain")), "domain")
+        now = saved(firsts.where("place = of_id and place = of_domain").select("place", "id", "domain"))
+        chosen = now if chosen is None else chosen.unionByName(now)
+        left = saved(left.join(now.select("id"), "id", "left_anti").join(now.select("domain"), "domain", "left_anti"))
+    return left if chosen is None else chosen
+
+
 def validate_catalogue(entries: DataFrame) -> DataFrame:
-    """Entries (place, id, name, domain, base_url, engine, status, enabled, ...) with the error of each, if any.
+    """Entries (place, id, name, domain, base_url, engine, status, enabled, ...) with all their errors, and ``error``, the first.
 
-    Entries that lack a field or may not be crawled are refused and take nothing.  Of the rest,
-    the first entry of an id counts, and of those the first of a domain.
+    Places differ.  Entries that don't fit the schema, or may not be crawled, take nothing; of
+    the others, in the order of their places, an entry is refused whose id or else whose
+    domain an accepted one has taken before it.
     """
-    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    shape = F.lit(None).cast("string")
-    for c in ("engine", "base_url", "domain", "name", "id"):
-        shape = F.when(empty(c), F.lit(f"{c} is missing")).otherwise(shape)
-    rows = entries.withColumn("error", shape)
+    rows = entries.withColumn("errors", schema_errors(entries))
     crawled = F.coalesce("enabled", F.lit(True)) & F.lower("domain").isin(*NO_CRAWL)
-
-    def earlier(key: str, among: Column) -> Column:
-        order = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.max(among).over(order), F.lit(False))
-
-    sound = F.col("error").isNull()
-    rows = rows.withColumn("__again", earlier("id", sound & ~crawled) & sound)
-    rows = rows.withColumn("__taken", earlier("domain", sound & ~crawled & ~F.col("__again")) & sound)
-    error = F.when(F.col("__again"), "duplicate id").when(F.col("__taken"), "duplicate domain").when(crawled & sound, "must not be crawled")
-    return rows.withColumn("error", F.coalesce("error", error)).drop("__again", "__taken")
+    rows = saved(rows.withColumn("__crawled", F.coalesce(crawled, F.lit(False))))
+    chosen = accepted(rows.where("size(errors) = 0 and not __crawled"))
+    rows = rows.join(chosen.select("id", F.col("place").alias("__of_id")), "id", "left").join(chosen.select("domain", F.col("place").alias("__of_domain")), "domain", "left")
+    late = F.when(F.col("__of_id") < F.col("place"), "duplicate id").when(F.col("__of_domain") < F.col("place"), "duplicate domain").when(F.col("__crawled"), "must not be crawled")
+    rows = rows.withColumn("errors", F.when(F.size("errors") == 0, F.array_compact(F.array(late))).otherwise(F.col("errors")))
+    return rows.withColumn("error", F.get("errors", F.lit(0))).select(*entries.columns, "errors", "error")
 
 
 def runnable(catalogue: DataFrame) -> DataFrame:
-    return catalogue.where("error is null and coalesce(enabled, true) and status <> 'blocked'")
+    return catalogue.where("error is null and coalesce(enabled, true) and coalesce(status, 'unverified') <> 'blocked'")
 
 
 def of_family(catalogue: DataFrame, family: str) -> DataFrame:

@@ -246,21 +246,44 @@ def _catalogue(spark, sf_dir):
     )
 
 
-_VALID = f"""SELECT *, CASE WHEN name IS NULL THEN 'name is missing' WHEN enabled AND domain = 'Amazon.ca' THEN CASE WHEN again THEN 'duplicate id' WHEN taken THEN 'duplicate domain' ELSE 'must not be crawled' END
-    WHEN again THEN 'duplicate id' WHEN taken THEN 'duplicate domain' END AS error FROM (SELECT *, EXISTS (SELECT 1 FROM r b WHERE b.good AND NOT b.again AND b.domain = a.domain AND b.place < a.place) AND NOT again AS taken
-    FROM (SELECT *, EXISTS (SELECT 1 FROM c b WHERE b.good AND b.id = a.id AND b.place < a.place) AS again FROM c a) a)"""
-_VALIDATED = f"""WITH c AS (SELECT *, name IS NOT NULL AND NOT (enabled AND domain = 'Amazon.ca') AS good FROM ({_CATALOGUE})),
-    r AS (SELECT *, EXISTS (SELECT 1 FROM c b WHERE b.good AND b.id = a.id AND b.place < a.place) AS again FROM c a), v AS ({_VALID})"""
+_ENTRIES = """SELECT p_partkey AS place, CASE WHEN p_partkey % 97 = 0 THEN NULL WHEN p_partkey % 89 = 0 THEN '' ELSE 'r' || (p_partkey % 700) END AS id, CASE WHEN p_partkey % 83 <> 0 THEN p_name END AS name,
+    CASE WHEN p_partkey % 53 = 5 THEN 'Amazon.CA' ELSE 'd' || (p_partkey * 7 % 900) || '.ca' END AS domain, CASE WHEN p_partkey % 41 = 0 THEN 'not a url' WHEN p_partkey % 43 <> 0 THEN 'https://x.ca' END AS base_url,
+    CASE WHEN p_partkey % 37 = 0 THEN 'nonsense' ELSE ['shopify', 'sfcc', 'feed'][p_partkey % 3 + 1] END AS engine, CASE WHEN p_partkey % 31 = 0 THEN '??' WHEN p_partkey % 3 > 0 THEN ['verified', 'blocked'][p_partkey % 2 + 1] END AS status,
+    CASE WHEN p_partkey % 29 = 0 THEN 0 WHEN p_partkey % 2 = 0 THEN 1.5 END AS rate_limit_rps, CASE WHEN p_partkey % 47 = 0 THEN -1 END AS max_product_pages, CASE WHEN p_partkey % 59 = 0 THEN 'x y' WHEN p_partkey % 4 = 0 THEN 'https://h.ca' END AS hybris_api_base,
+    CASE WHEN p_partkey % 7 > 0 THEN p_partkey % 5 <> 0 END AS enabled FROM part"""
+
+
+def _entries(spark, sf_dir):
+    n, k = F.col("p_partkey"), (lambda m: (F.col("p_partkey") % m).cast("string"))
+    pick = lambda m, *values: F.get(F.array(*map(F.lit, values)), (n % m).cast("int"))
+    return mart.table(spark, sf_dir, "part").select(
+        n.alias("place"), F.when(n % 97 == 0, None).when(n % 89 == 0, "").otherwise(F.concat(F.lit("r"), k(700))).alias("id"), F.when(n % 83 != 0, F.col("p_name")).alias("name"),
+        F.when(n % 53 == 5, "Amazon.CA").otherwise(F.concat(F.lit("d"), (n * 7 % 900).cast("string"), F.lit(".ca"))).alias("domain"), F.when(n % 41 == 0, "not a url").when(n % 43 != 0, "https://x.ca").alias("base_url"),
+        F.when(n % 37 == 0, "nonsense").otherwise(pick(3, "shopify", "sfcc", "feed")).alias("engine"), F.when(n % 31 == 0, "??").when(n % 3 > 0, pick(2, "verified", "blocked")).alias("status"),
+        F.when(n % 29 == 0, 0.0).when(n % 2 == 0, 1.5).alias("rate_limit_rps"), F.when(n % 47 == 0, -1).alias("max_product_pages"), F.when(n % 59 == 0, "x y").when(n % 4 == 0, "https://h.ca").alias("hybris_api_base"),
+        F.when(n % 7 > 0, n % 5 != 0).alias("enabled"),
+    )
+
+
+#: One entry after the other, with the ids and domains that are taken.
+_VALIDATED = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (ORDER BY place) AS n, list_filter([CASE WHEN coalesce(id, '') = '' THEN 'id is missing' END, CASE WHEN name IS NULL THEN 'name is missing' END,
+        CASE WHEN base_url IS NULL THEN 'base_url is missing' WHEN base_url = 'not a url' THEN 'base_url is not a URL' END, CASE WHEN engine = 'nonsense' THEN 'engine is unknown' END, CASE WHEN hybris_api_base = 'x y' THEN 'hybris_api_base is not a URL' END,
+        CASE WHEN rate_limit_rps <= 0 THEN 'rate_limit_rps is not positive' END, CASE WHEN max_product_pages <= 0 THEN 'max_product_pages is not positive' END, CASE WHEN status = '??' THEN 'status is unknown' END], lambda x: x IS NOT NULL) AS shape FROM ({_ENTRIES})),
+    steps AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS ids, []::VARCHAR[] AS domains, []::VARCHAR[] AS errors UNION ALL
+        SELECT n, CASE WHEN len(errors) = 0 THEN list_append(ids, id) ELSE ids END, CASE WHEN len(errors) = 0 THEN list_append(domains, domain) ELSE domains END, errors FROM (
+            SELECT e.n, ids, domains, e.id, e.domain, CASE WHEN len(shape) > 0 THEN shape WHEN list_contains(ids, e.id) THEN ['duplicate id'] WHEN list_contains(domains, e.domain) THEN ['duplicate domain']
+                WHEN coalesce(e.enabled, true) AND lower(e.domain) IN ('amazon.ca', 'amazon.com') THEN ['must not be crawled'] ELSE [] END AS errors FROM steps JOIN e ON e.n = steps.n + 1)),
+    v AS (SELECT e.*, errors, errors[1] AS error FROM e JOIN steps USING (n))"""
 
 
-@query("q98_catalogue_errors", f"{_VALIDATED} SELECT place, id, error FROM v")
+@query("q98_catalogue_errors", f"{_VALIDATED} SELECT place, id, error, array_to_string(errors, '; ') AS errors FROM v")
 def _validated(spark, sf_dir):
-    return runlog.validate_catalogue(_catalogue(spark, sf_dir)).select("place", "id", "error")
+    return runlog.validate_catalogue(_entries(spark, sf_dir)).select("place", "id", "error", F.array_join("errors", "; ").alias("errors"))
 
 
-@query("q98b_catalogue_runnable", f"{_VALIDATED} SELECT place, engine FROM v WHERE error IS NULL AND enabled AND status <> 'blocked'")
+@query("q98b_catalogue_runnable", f"{_VALIDATED} SELECT place, engine FROM v WHERE error IS NULL AND coalesce(enabled, true) AND coalesce(status, 'unverified') <> 'blocked'")
 def _runnable(spark, sf_dir):
-    return runlog.runnable(runlog.validate_catalogue(_catalogue(spark, sf_dir))).select("place", "engine")
+    return runlog.runnable(runlog.validate_catalogue(_entries(spark, sf_dir))).select("place", "engine")
 
 
 @query("q99_catalogue_drift", f"SELECT place AS id, engine, CASE WHEN place % 6 <> 0 THEN 'sfcc' END AS detected, CASE WHEN place % 6 = 0 THEN 'unreachable' WHEN engine = 'sfcc' THEN 'ok' ELSE 'MISMATCH' END AS result FROM ({_CATALOGUE})")

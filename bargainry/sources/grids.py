@@ -182,6 +182,10 @@ def linked_collections(html: Column, most: int = 6) -> Column:
     return F.slice(F.array_distinct(F.filter(found, lambda x: x.rlike(SALE_LINK))), 1, most)
 
 
+#: Names of dealers in a catalogue of retailers at most, as each post is held against each.
+MOST_DEALERS = 2000
+
+
 def same_site(domain: Column, site: Column) -> Column:
     host, target = F.lower(domain), F.lower(site)
     return (host == target) | F.endswith(host, F.concat(F.lit("."), target))
@@ -205,21 +209,29 @@ def of_retailers(posts: DataFrame, retailers: DataFrame) -> DataFrame:
     known = [retailers.select(F.lower("domain").alias("__site")), retailers.select(F.explode("dealers").alias("d")).select(F.lower("d").alias("__dealer"))]
     labels = F.split(F.lower(F.coalesce("merchant_domain", registrable_domain("url"))), r"\.")
     sites = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
-    marked = posts.withColumn("__n", F.monotonically_increasing_id())
     names = known[1].agg(F.collect_set("__dealer").alias("d")).first()["d"]
+    if len(names) > MOST_DEALERS:
+        raise ValueError(f"a catalogue has at most {MOST_DEALERS} names of dealers, not {len(names)}")
     named = F.exists(F.array(*map(F.lit, names)).cast("array<string>"), lambda d: F.contains(F.lower(F.coalesce("merchant_name", F.lit(""))), d))
-    hits = marked.select("__n", F.explode(sites).alias("__site")).join(known[0].distinct(), "__site").select("__n").distinct().withColumn("__hit", F.lit(True))
-    return marked.join(hits, "__n", "left").where(F.coalesce("__hit", F.lit(False)) | named).drop("__n", "__hit")
+    # by host, so that a post is never joined with itself
+    hosts = posts.select(F.array_join(labels, ".").alias("__host"), sites.alias("sites")).where("__host is not null").distinct()
+    about = hosts.select("__host", F.explode("sites").alias("__site")).join(known[0].distinct(), "__site").select("__host").distinct().withColumn("__hit", F.lit(True))
+    marked = posts.withColumn("__host", F.array_join(labels, ".")).join(about, "__host", "left")
+    return marked.where(F.coalesce("__hit", F.lit(False)) | named).drop("__host", "__hit")
 
 
 def composite(paths: list[tuple[str, DataFrame]], most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """A retailer's paths in order: listings (RAW) of all, the first path that has an address wins; and the attempts.
 
-    The attempts have place, path, found (listings of the path) and kept.
+    Within a path, the listing wins that comes first by its ``position``, if there is such a
+    column, else by its source's id; the files' split has no influence.  The attempts have
+    place, path, found (listings of the path) and kept.
     """
     rows = None
     for place, (name, df) in enumerate(paths, 1):
-        own = df.withColumns({"source_path": F.lit(name), "__place": F.lit(place), "__at": F.monotonically_increasing_id()})
+        position = F.col("position").cast("long") if "position" in df.columns else F.lit(None).cast("long")
+        told = F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")])
+        own = df.withColumns({"source_path": F.lit(name), "__place": F.lit(place), "__at": F.struct(position, "source", "source_id", told)})
         rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
     first = Window.partitionBy(F.lower("url")).orderBy("__place", "__at")
     ranked = rows.withColumn("__rank", F.row_number().over(first))

@@ -112,3 +112,42 @@ def test_late_prices_are_compared_with_the_latest(spark):
 
 def test_run_returns_all_tables():
     assert ingest.Run._fields == ("deals", "points", "drops", "merchants", "runs", "totals")
+
+
+def _entry(place, id, domain, **more):
+    return (place, id, "N", domain, *[more.get(k, d) for k, d in (("base_url", "https://x.ca"), ("engine", "shopify"), ("status", None), ("enabled", True), ("rate_limit_rps", None))])
+
+
+ENTRY = "place int, id string, name string, domain string, base_url string, engine string, status string, enabled boolean, rate_limit_rps double"
+
+
+@pytest.mark.parametrize(
+    ("entries", "want"),
+    [
+        ([(0, "a", "a.ca"), (1, "b", "a.ca"), (2, "b", "b.ca")], [None, "duplicate domain", None]),
+        ([(0, "a", "a.ca"), (1, "a", "b.ca"), (2, "c", "b.ca")], [None, "duplicate id", None]),
+        ([(3, "a", "a.ca"), (1, "b", "a.ca"), (2, "a", "b.ca")], ["duplicate id", None, None]),
+        ([(i, f"k{(i + 1) // 2}", f"d{i // 2}") for i in range(24)], [None, "duplicate domain"] + [None if i % 2 else "duplicate domain" for i in range(1, 23)]),
+    ],
+)
+def test_catalogue_in_sequence(spark, entries, want):
+    rows = spark.createDataFrame([_entry(*e) for e in entries], ENTRY)
+    got = {r.place: r.error for r in runlog.validate_catalogue(rows).collect()}
+    plain, ids, domains = {}, set(), set()
+    for place, id, domain in sorted(entries):
+        plain[place] = "duplicate id" if id in ids else "duplicate domain" if domain in domains else None
+        if not plain[place]:
+            ids.add(id)
+            domains.add(domain)
+    assert got == plain
+    if len(entries) == 3:
+        assert [got[e[0]] for e in entries] == want
+
+
+def test_catalogue_schema(spark):
+    bad = [_entry(0, "a", "a.ca", engine="nope"), _entry(1, "b", "b.ca", base_url="not-a-url", status="??"), _entry(2, "c", "c.ca", rate_limit_rps=0.0), _entry(3, "d", "AMAZON.com"), _entry(4, "d", "d.ca"), _entry(5, "e", "amazon.ca", enabled=False)]
+    rows = runlog.validate_catalogue(spark.createDataFrame([*bad, _entry(6, None, "a.ca"), _entry(7, "f", "a.ca", base_url="mailto:x")], ENTRY))
+    assert [(r.place, list(r.errors)) for r in rows.orderBy("place").collect()] == [
+        (0, ["engine is unknown"]), (1, ["base_url is not a URL", "status is unknown"]), (2, ["rate_limit_rps is not positive"]), (3, ["must not be crawled"]), (4, []), (5, []), (6, ["id is missing"]), (7, []),
+    ]
+    assert runlog.validate_catalogue(spark.createDataFrame([], ENTRY)).count() == 0
