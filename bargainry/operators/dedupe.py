@@ -5,21 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_url, fingerprint
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back, so that what follows starts from a table."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the one that all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    path = f"{(root or tempfile.gettempdir() + '/bargainry-scratch').rstrip('/')}/bargainry/{uuid.uuid4().hex}"
+    return f"{(root or tempfile.gettempdir() + '/bargainry-scratch').rstrip('/')}/bargainry/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read back, so that what follows starts from a table."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clusters(memberships: DataFrame) -> DataFrame:

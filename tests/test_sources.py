@@ -82,9 +82,10 @@ def test_stream(spark, tmp_path):
     for n, (rows, day) in enumerate(zip(batches, days, strict=True)):
         (tmp_path / f"raw/{n}.json").write_text("\n".join(map(json.dumps, rows)))
         ingest.start(spark, str(tmp_path / "raw"), str(tmp_path / "lake"), merchants, day).awaitTermination()
-    assert one(spark.read.parquet(str(tmp_path / "lake/deals/v1")), "price_now", "merchant_id", "status") == (1800, "m1", "active")
-    assert sorted(r["price"] for r in spark.read.parquet(str(tmp_path / "lake/points/v1")).collect()) == [1800, 2000]
-    assert spark.read.parquet(str(tmp_path / "lake/drops/v0")).count() == 1
+    lake = ingest.lake(str(tmp_path / "lake"))
+    assert one(lake.deals.read(spark), "price_now", "merchant_id", "status") == (1800, "m1", "active")
+    assert sorted(r["price"] for r in lake.points.read(spark, 1).collect()) == [1800, 2000]
+    assert lake.drops.read(spark, 0).count() == 1 and lake.runs.read(spark, 1).count() == 2
 
 
 def test_recall(spark):
