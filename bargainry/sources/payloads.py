@@ -282,18 +282,15 @@ def store_clearance(pages: DataFrame, base: str = "https://stocktrack.ca", path:
 
 
 def rss(payloads: DataFrame) -> DataFrame:
-    """Items of a feed; those marked as expired are left out."""
-    items = payloads.select("source", F.explode(F.regexp_extract_all("payload", F.lit(r"(?is)<item\b[^>]*>.*?</item>"), F.lit(0))).alias("item"))
-
-    def tag(name: str) -> Column:
-        inner = F.regexp_extract("item", rf"(?is)<{name}\b[^>]*>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{name}>", 1)
-        return let(inner, lambda x: F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&")))
-
-    df = items.select("source", tag("title").alias("title"), tag("link").alias("url"), tag("guid").alias("guid"), tag("pubDate").alias("at"), tag("description").alias("text"))
+    """Items of a feed; those marked as expired are left out.  A body in the content namespace counts before a description."""
+    fields = {"f": first("title", "link", "guid", "pubDate", "content|encoded", "description", "dc|date")}
+    items = select(payloads, "payload", "item", fields, ("source",), xml=True)
+    title, link, guid, day, body, summary, date = (F.trim(F.get("f", F.lit(i))["text"]) for i in range(7))
+    filled = lambda c: F.nullif(c, F.lit(""))
+    df = items.select("source", title.alias("title"), link.alias("url"), guid.alias("guid"), F.coalesce(filled(day), filled(date)).alias("at"), F.coalesce(filled(body), summary, F.lit("")).alias("text"))
     df = df.where(~F.col("title").rlike(r"(?i)\bexpired\b") & (F.col("title") != ""))
     return as_raw(
-        df, source=F.col("source"), source_id=F.coalesce(F.nullif("guid", F.lit("")), F.col("url")), title=F.col("title"), url=F.col("url"),
-        description=strip_html("text"), posted_at=F.nullif("at", F.lit("")),
+        df, source=F.col("source"), source_id=F.coalesce(filled(F.col("guid")), F.col("url")), title=F.col("title"), url=F.col("url"), description=strip_html("text"), posted_at=F.col("at"),
     )
 
 

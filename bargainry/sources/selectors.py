@@ -29,16 +29,17 @@ FENCES = {"li": ("ul", "ol"), "a": ("td", "th")} | {t: ("table",) for t in ("td"
 
 #: Each alternative ends at its mark or with the page, so that reading takes time in proportion; a tag that has no end is none.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|</([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|<([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')?+)*+)(>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<written>(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*')?+)*+)(?P<mark>>|\Z)""",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 
 
 class Page:
-    """The elements of a page or fragment, in document order."""
+    """The elements of a page or fragment, in document order; of XML, where nothing is implied and case and CDATA count, if ``xml``."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, xml: bool = False):
+        self.xml = xml
         self.tags: list[str] = []
         self.attributes: list[dict[str, str]] = []
         self.parents: list[int] = []
@@ -52,10 +53,12 @@ class Page:
         while found := _TOKEN.search(text, at):
             self._say(text[at : found.start()])
             at = found.end()
-            if found[1]:
-                self._end(found[1].lower())
-            elif found[4]:
-                at = self._start(found[2].lower(), found[3], text, at)
+            if found["end"]:
+                self._end(found["end"] if xml else found["end"].lower())
+            elif found["mark"]:
+                at = self._start(found["start"] if xml else found["start"].lower(), found["written"], text, at)
+            elif xml and found["cdata"]:
+                self.texts.append(found["cdata"])
         self._say(text[at:])
         self._close(0)
 
@@ -64,7 +67,7 @@ class Page:
             self.texts.append(html.unescape(text) if "&" in text else text)
 
     def _start(self, tag: str, written: str, text: str, at: int) -> int:
-        ended = [t for t in ENDED_BY.get(tag, ()) if self._counts[t]]
+        ended = [] if self.xml else [t for t in ENDED_BY.get(tag, ()) if self._counts[t]]
         for place in range(len(self._open) - 1, -1, -1) if ended else ():
             over = self.tags[self._open[place]]
             if over in ended:
@@ -73,12 +76,16 @@ class Page:
                     break
             elif over in FENCES.get(tag, ("table",)):
                 break
-        if tag == "tr" and self._open and self.tags[self._open[-1]] == "table":
+        if tag == "tr" and not self.xml and self._open and self.tags[self._open[-1]] == "table":
             self._add("tbody", {})
         attributes: dict[str, str] = {}
         for name, *values in _ATTRIBUTE.findall(written):
-            attributes.setdefault(name.lower(), html.unescape("".join(values)))
+            attributes.setdefault(name if self.xml else name.lower(), html.unescape("".join(values)))
         self._add(tag, attributes)
+        if self.xml:
+            if written.endswith("/"):
+                self._close(len(self._open) - 1)
+            return at
         if tag in RAW_TEXT:
             end = re.compile(rf"</{tag}\b", re.IGNORECASE).search(text, at)
             stop = end.start() if end else len(text)
@@ -122,7 +129,7 @@ class Page:
 
 # Selectors --------------------------------------------------------------------------------------
 
-_SIMPLE = re.compile(r"""([a-zA-Z][\w-]*|\*)|\.([\w-]+)|\#([\w-]+)|\[\s*([\w:-]+)\s*(?:([~^$*|]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+))\s*)?\]|:nth-child\((\d+)\)|:(first-child)""")
+_SIMPLE = re.compile(r"""([a-zA-Z][\w-]*(?:\|[\w-]+)?|\*)|\.([\w-]+)|\#([\w-]+)|\[\s*([\w:-]+)\s*(?:([~^$*|]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+))\s*)?\]|:nth-child\((\d+)\)|:(first-child)""")
 _BETWEEN = re.compile(r"\s*([>,])\s*|\s+")
 
 _HAS = {
@@ -163,11 +170,11 @@ class Selector:
     """Alternatives of compounds, each behind an ancestor or parent; what can't be read is a ValueError.
 
     Tags, classes, ids, attributes (with all comparisons), nth-child of a number, first-child,
-    descendants, children and commas.
+    descendants, children and commas.  In XML, case counts, and ``a|b`` is the tag ``a:b``.
     """
 
-    def __init__(self, written: str):
-        self.written = written
+    def __init__(self, written: str, xml: bool = False):
+        self.written, self.xml = written, xml
         self.alternatives: list[list[tuple[str, Compound]]] = [[]]
         at, how, text = 0, " ", written.strip()
         while at < len(text):
@@ -190,13 +197,13 @@ class Selector:
             if found[1]:
                 if at > start:
                     break
-                tag = None if found[1] == "*" else found[1].lower()
+                tag = None if found[1] == "*" else found[1].replace("|", ":") if self.xml else found[1].lower()
             elif found[2]:
                 classes.append(found[2])
             elif found[3]:
                 id = found[3]
             elif found[4]:
-                attributes.append((found[4].lower(), found[5], found[6] or found[7] or found[8] or ""))
+                attributes.append((found[4] if self.xml else found[4].lower(), found[5], found[6] or found[7] or found[8] or ""))
             else:
                 nth = int(found[9] or 1)
             at = found.end()
@@ -262,7 +269,7 @@ _MATCH = "struct<text:string,attributes:map<string,string>>"
 _MATCH_ARROW = pa.struct([("text", pa.string()), ("attributes", pa.map_(pa.string(), pa.string()))])
 
 
-def select(pages: DataFrame, payload: str, rows: str | None, fields: dict[str, Field], keep: tuple[str, ...]) -> DataFrame:
+def select(pages: DataFrame, payload: str, rows: str | None, fields: dict[str, Field], keep: tuple[str, ...], xml: bool = False) -> DataFrame:
     """``keep``, place, row (text and attributes), and each field as an array of matches.
 
     A row per element that ``rows`` selects, in document order, ``place`` counting from 0; one
@@ -271,8 +278,8 @@ def select(pages: DataFrame, payload: str, rows: str | None, fields: dict[str, F
     """
     about = StructType([*(pages.schema[k] for k in keep), StructField("__html", StringType())])
     source = pages.select(*keep, pages[payload].alias("__html")).where("__html is not null")
-    compiled = {name: (f.kind, [Selector(s) for s in f.selectors]) for name, f in fields.items()}
-    wanted = Selector(rows) if rows else None
+    compiled = {name: (f.kind, [Selector(s, xml) for s in f.selectors]) for name, f in fields.items()}
+    wanted = Selector(rows, xml) if rows else None
     names = [*keep, "place", "row", *fields]
     kinds = [pa.int32(), _MATCH_ARROW, *[pa.list_(_MATCH_ARROW) for _ in fields]]
 
@@ -283,7 +290,7 @@ def select(pages: DataFrame, payload: str, rows: str | None, fields: dict[str, F
         for batch in batches:
             at, out = [], [[] for _ in kinds]
             for i, text in enumerate(batch.column("__html").to_pylist()):
-                page = Page(text)
+                page = Page(text, xml)
                 elements = [e for e in range(len(page.tags)) if wanted.fits(page, e)] if wanted else [None]
                 for place, element in enumerate(elements):
                     at.append(i)

@@ -18,6 +18,7 @@ from ..functions.rules import coupon
 from ..functions.scalars import let, price_to_cents
 from ..functions.text import asin_of
 from .payloads import as_raw, resolve
+from .selectors import first, select
 
 #: Words that mark the price before and the price now in a post.
 WAS_WORDS = r"(?i)\b(?:reg|reg\.|regular|regularly|was|orig|orig\.|originally|retail|list|compare|compared at|value|instead of|down from)\b"
@@ -234,12 +235,10 @@ def posts(payloads: DataFrame, domain: str, name: str | None = None, about: tupl
 
 def price_drops(payloads: DataFrame) -> DataFrame:
     """Items of a tracker's feed that name a product and a price that fell; labelled prices count before bare ones."""
-    items = payloads.select("source", F.posexplode(F.regexp_extract_all("payload", F.lit(r"(?is)<item>(.*?)</item>"), F.lit(1))).alias("at", "item"))
-
-    def tag(name: str) -> Column:
-        return plain_text(F.regexp_replace(F.regexp_extract("item", rf"(?is)<{name}[^>]*>(.*?)</{name}>", 1), r"^\s*<!\[CDATA\[|\]\]>\s*$", ""))
-
-    df = items.select("source", F.struct("at", F.xxhash64("item")).alias("place"), "item", tag("title").alias("title"), tag("link").alias("link"), tag("description").alias("text"), tag("pubDate").alias("day"))
+    items = select(payloads, "payload", "item", {"f": first("title", "link", "description", "pubDate", "enclosure")}, ("source", "payload"), xml=True)
+    title, link, text, day = (plain_text(F.get("f", F.lit(i))["text"]) for i in range(4))
+    place, attached = F.struct("place", F.xxhash64("payload")).alias("place"), F.try_element_at(F.get("f", F.lit(4))["attributes"], F.lit("url"))
+    df = items.select("source", place, F.col("row.text").alias("item"), attached.alias("attached"), title.alias("title"), link.alias("link"), text.alias("text"), day.alias("day"))
     df = df.withColumn("asin", F.coalesce(asin_of("link"), asin_of("item"))).withColumn("said", F.concat_ws(" ", "title", "text"))
     number = lambda c: F.replace(c, F.lit(","), F.lit("")).try_cast("double")
     labelled = lambda labels: F.coalesce(*[number(F.nullif(F.regexp_extract("said", "(?i)" + x + _MONEY, 1), F.lit(""))) for x in labels])
@@ -250,7 +249,7 @@ def price_drops(payloads: DataFrame) -> DataFrame:
     title = F.col("title")
     for ending in (r"(?i)\s*[-–]\s*down\s+[\d.]+%.*$", r"(?i)\s*[-–]\s*\d+%\s*(?:price\s*)?drop.*$", r"(?i)\s*\((?:was|now)[^)]*\)\s*$"):
         title = F.regexp_replace(title, ending, "")
-    picture = F.coalesce(*[F.nullif(F.regexp_extract("item", rf"(?i)<{x}\"([^\"]+)\"", 1), F.lit("")) for x in (r"enclosure[^>]*url=", r"img[^>]*src=")])
+    picture = F.coalesce(F.nullif("attached", F.lit("")), F.nullif(F.regexp_extract("item", r"(?i)<img[^>]*src=\"([^\"]+)\"", 1), F.lit("")))
     return as_raw(
         df, source=F.col("source"), source_id=F.concat(F.lit("camel:"), "asin"), title=F.trim(title), url=F.concat(F.lit("https://www.amazon.ca/dp/"), "asin"), image_url=picture,
         price=F.col("now"), price_was=F.col("before"), currency=F.lit("CAD"), merchant_domain=F.lit("amazon.ca"), merchant_name=F.lit("Amazon.ca"), asin=F.col("asin"),

@@ -102,3 +102,15 @@ def test_clearance_by_other_selectors(spark):
 def test_links_by_selector(spark):
     pages = table(spark, "<ul class=p><li><a href='/a'>x</a><li><a href=''>y</a><a>z</a><li><b><a href='//o.ca/b'>w</a></b></ul><a href=c>n</a>").selectExpr("source", "payload", "'https://h.ca/l' AS url")
     assert [r.link for r in payloads.selected_links(pages, ".p a[href]").collect()] == ["https://h.ca/a", "https://o.ca/b"]
+
+
+def test_xml():
+    page = Page("<r><Item/><item a='1'><b:t>x</b:t><t>a<![CDATA[<i>&amp;</i>]]>&lt;</t><link>l</link></item></r>", xml=True)
+    found = {s: [page.text(e) for e in range(len(page.tags)) if Selector(s, xml=True).fits(page, e)] for s in ("item > t", "b|t", "Item", "item[a='1'] link", "i", "T")}
+    assert found == {"item > t": ["a<i>&amp;</i><"], "b|t": ["x"], "Item": [""], "item[a='1'] link": ["l"], "i": [], "T": []}
+
+
+def test_broken_feeds(spark):
+    feed = "<rss><item><title>A & B</title><link>u</link><guid/></item><item><title>open<link>v</link></item><item><title></title></item>"
+    got = payloads.rss(table(spark, feed, "no feed", "", None)).select("title", "url", "source_id").collect()
+    assert sorted(map(tuple, got), key=str) == [("A & B", "u", "u"), ("openv", "v", "v")]
