@@ -153,6 +153,19 @@ def pages(total: int, limit: int) -> int:
     return max(1, math.ceil(total / limit))
 
 
+def page_count(total: str, limit: int) -> Column:
+    """The same of a column."""
+    return F.greatest(F.lit(1).cast("long"), F.ceil(F.col(total) / limit))
+
+
+def stores_by_chain(stores: DataFrame) -> DataFrame:
+    return stores.orderBy("chain", "name", "id")
+
+
+def merchants_by_name(merchants: DataFrame) -> DataFrame:
+    return merchants.orderBy(F.lower("name"), "id")
+
+
 FACETS = {"category": ("category", "category"), "department": ("department", "department"), "merchant": ("merchant_slug", "merchant_name"), "family": ("family", "family"), "brand": ("brand", "brand")}
 
 
