@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.text import registrable_domain
 from .payloads import as_raw, resolve
 from .selectors import around, every, first, select
-from .storefronts import _filled, _first, _found, objects_under
+from .storefronts import _filled, _first, _found
 
 # A grid's tiles, prices and names, in the order that they are tried.
 TILES = (".product-tile", ".product[data-pid]", ".grid-tile", ".product-grid-tile")
@@ -108,7 +108,7 @@ def _amount(*names: str) -> Column:
 
 def offer_list(payloads: DataFrame, site: str, domain: str, name: str | None = None, page: str = "/en/ip/") -> DataFrame:
     """Offers, wherever in the payload their list is (six levels deep), with a price below the one before."""
-    df = _found(payloads, objects_under(("offers", "products", "items", "results"), 6, False), _OFFER)
+    df = _found(payloads, ("offers", "products", "items", "results"), 6, False, _OFFER)
     text = lambda *names: F.coalesce(*[_filled(c) for c in names])
     df = df.withColumns({"key": text("productId", "id", "sku"), "label": text("name", "title"), "now": _amount("currentPrice", "price", "salePrice")})
     df = df.withColumn("before", _amount("wasPrice", "listPrice", "regularPrice", "originalPrice")).where("key is not null and label is not null and before > now")

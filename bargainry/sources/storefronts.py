@@ -1,16 +1,13 @@
 """Payloads of storefront platforms, deal blogs and price trackers to raw listings.
 
-As in ``payloads``, a parser takes source and payload and returns the columns of RAW.  Only
-the search for a list that hangs at an unknown depth runs in Python (``objects_under``);
-prices, notes and fields are column expressions.  A listing that occurs more than once
-counts where it comes first.
+As in ``payloads``, a parser takes source and payload and returns the columns of RAW.  Lists
+that hang at an unknown depth are found in variants (``objects_under``); prices, notes and
+fields are column expressions.  A listing that occurs more than once counts where it comes
+first.
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,38 +28,47 @@ _MONEY = r"(?:CDN\$|\$|CAD\s?)\s?(\d{1,6}(?:[.,]\d{2})?)"
 GAP, LEAD = 40, 24
 
 
-def objects_under(names: tuple[str, ...], depth: int, below: bool):
-    """A function of JSON texts: the objects (as JSON) in lists with one of the names, at any place.
+def objects_under(payloads: DataFrame, names: tuple[str, ...], depth: int, below: bool) -> DataFrame:
+    """source, place, item: the objects (as JSON) in lists with one of the names, at any place of the payload down to a depth.
 
-    Without ``below`` an object that has such a list is not searched further.
+    Without ``below`` an object that has such a list is not searched further.  Each level is
+    an explode of what the one above holds, as variants; places are in the order of a walk
+    that takes an object's own lists first, and fields by name.
     """
 
-    @F.pandas_udf("array<string>")
-    def find(texts: pd.Series) -> pd.Series:
-        def of(text: str | None) -> list[str]:
-            try:
-                todo = [(json.loads(text), 0)] if text else []
-            except (ValueError, RecursionError):
-                return []
-            out: list[str] = []
-            while todo:
-                node, at = todo.pop()
-                lists = [node[name] for name in names if isinstance(node.get(name), list)] if isinstance(node, dict) else []
-                mine = [x for found in lists for x in found if isinstance(x, dict)]
-                out += map(json.dumps, mine)
-                if at < depth and (below or not mine):
-                    inner = list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else []
-                    todo += [(x, at + 1) for x in reversed(inner) if isinstance(x, dict | list)]
-            return out
+    def as_map(v: Column) -> Column:
+        return F.try_variant_get(v, "$", "map<string,variant>")
+
+    def as_list(v: Column) -> Column:
+        return F.try_variant_get(v, "$", "array<variant>")
+
+    def node(hit: bool, at: Column, v: Column) -> Column:
+        return F.struct(F.lit(hit).alias("hit"), at.alias("at"), v.alias("v"))
+
+    def held(list_: Column, hit: bool, *path: int) -> Column:
+        some = F.coalesce(list_, F.array().cast("array<variant>"))
+        own = F.transform(some, lambda x, j: node(hit, F.concat("at", F.array(*map(F.lit, path), j)), x))
+        return F.filter(own, lambda n: as_map(n["v"]).isNotNull() | (F.lit(not hit) & as_list(n["v"]).isNotNull()))
 
-        return texts.map(of)
+    def after(alone: Column, beside: Column):
+        return lambda mine: F.concat(mine, F.when(F.size(mine) > 0, beside).otherwise(alone))
 
-    return find
+    start = F.try_parse_json("payload")
+    rows = payloads.select("source", node(False, F.array().cast("array<int>"), start).alias("n")).select("source", "n.*").where("v is not null")
+    for level in range(depth + 1):
+        mine = F.concat(*[held(F.try_variant_get(F.col("v"), f"$.{name}", "array<variant>"), True, 0, i) for i, name in enumerate(names)])
+        inner = held(F.coalesce(F.map_values(as_map(F.col("v"))), as_list(F.col("v"))), False, 1)
+        none = F.filter(inner, lambda n: F.lit(False))
+        deeper = none if level == depth else inner
+        going = let(mine, after(deeper, deeper if below else none))
+        step = F.when(F.col("hit"), F.array(F.struct("hit", "at", "v"))).otherwise(going)
+        rows = rows.select("source", F.explode(step).alias("n")).select("source", "n.*")
+    item = F.to_json("v")
+    return rows.where("hit").select("source", F.struct("at", F.xxhash64(item)).alias("place"), item.alias("item"))
 
 
-def _found(payloads: DataFrame, find, schema: str) -> DataFrame:
-    items = payloads.select("source", F.posexplode(find("payload")).alias("at", "item"))
-    return items.select("source", F.struct("at", F.xxhash64("item")).alias("place"), F.from_json("item", schema).alias("p")).select("source", "place", "p.*")
+def _found(payloads: DataFrame, names: tuple[str, ...], depth: int, below: bool, schema: str) -> DataFrame:
+    return objects_under(payloads, names, depth, below).select("source", "place", F.from_json("item", schema).alias("p")).select("source", "place", "p.*")
 
 
 def _first(df: DataFrame, *keys: str) -> DataFrame:
@@ -102,7 +108,7 @@ def hybris(payloads: DataFrame, site: str, domain: str, name: str | None = None)
 
     The price is that of one piece, also where several cost less.
     """
-    df = _found(payloads, objects_under(("products", "productData", "results"), 6, False), _SEARCH)
+    df = _found(payloads, ("products", "productData", "results"), 6, False, _SEARCH)
     df = df.withColumns({
         "id": F.coalesce(_filled("code"), _filled("sku")), "label": F.coalesce(_filled("title"), _filled("name")), "now": _paid("currentPrice"),
         "before": F.coalesce(_paid("originalPrice"), _paid("regularPrice")), "said": F.array_compact(F.flatten(F.array(*map(_said, _BANNERS)))),
@@ -145,7 +151,7 @@ def promotion(text: Column | str) -> Column:
 
 def category_list(payloads: DataFrame, site: str, domain: str, name: str | None = None, department: str | None = None) -> DataFrame:
     """Styles with a sale price below the regular one; a range is compared with a range only."""
-    df = _found(payloads, objects_under(("ccList",), 8, True), _STYLES)
+    df = _found(payloads, ("ccList",), 8, True, _STYLES)
     ranged = lambda c: F.coalesce(F.col(c).rlike(r"\d\s*[-–]\s*\D*\d"), F.lit(False))
     df = df.withColumns({"id": _filled("businessCatalogItemId"), "label": _filled("name"), "now": F.coalesce(range_floor("price.salePrice"), range_floor("price.currentMinPrice")), "before": range_floor("price.regularPrice")})
     df = df.where("id is not null and label is not null and before > now").where(ranged("price.regularPrice") == ranged("price.salePrice"))
