@@ -1,11 +1,11 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
-A rolling hash of 8 bytes runs over the UTF-8 text; where it falls below 2**32 / block size
-a piece ends.  Each piece gives two characters of the signature, from a hash of all its
-windows.  The block size is the smallest power of two times ``SMALLEST`` at which the text
-has about ``PIECES`` pieces at most and none holds more than half of it (in repetitive texts
-the pieces of a smaller size are then merged in pairs, each time for twice the size), and
-the fingerprint holds the signatures at that size and at twice it:
+A rolling hash of 8 bytes runs over the UTF-8 text; where it falls below 2**32 / block size a
+piece ends, if it is half a block long, and a piece of four blocks ends anyway.  So in
+repetitive texts too, where no hash or every hash is low, an end depends on the bytes since
+the last one only.  Each piece gives two characters of the signature, from a hash of all its
+windows.  The block size is the smallest power of two times ``SMALLEST`` of which ``PIECES``
+hold the text, and the fingerprint holds the signatures at that size and at twice it:
 
     <block size>:<signature>:<signature at twice the block size>
 
@@ -15,6 +15,8 @@ inserted and deleted), as 1 - distance / (pieces of both); without such a size t
 Defined results: a null text is an empty text; equal texts have equal fingerprints and
 likeness 1; empty tables give no rows; repeated rows have a row each; null ids come last
 in the descending order of ids, ties of ids go by text; further columns are ignored.
+Whole texts are read, however long: a signature has at most 2 * ``PIECES`` pieces, and a task
+holds one text's hashes at a time.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, task_count, text_or_empty
 
-SMALLEST = 4
+SMALLEST = 1
 PIECES = 64
 #: Fixed value: the digits of base 64, in natural order.
 DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -47,18 +49,23 @@ def _windows(data: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint32(13))
 
 
-def _signature(windows: np.ndarray, sums: np.ndarray, ends: np.ndarray) -> str:
-    """Two digits for each piece; past twice PIECES pieces the rest counts as one."""
-    ends = ends[: 2 * PIECES - 1]
-    edges = np.append(ends, len(windows) - 1) if not len(ends) or ends[-1] != len(windows) - 1 else ends
-    upto = sums[edges]
-    pieces = np.diff(upto, prepend=np.uint64(0)) * _PIECE >> np.uint64(52)
+def _signature(sums: np.ndarray, ends: np.ndarray) -> str:
+    """Two digits for each piece."""
+    pieces = np.diff(sums[ends], prepend=np.uint64(0)) * _PIECE >> np.uint64(52)
     return "".join(DIGITS[p >> 6] + DIGITS[p & 63] for p in pieces.tolist())
 
 
-def _sparse(ends: np.ndarray, size: int) -> bool:
-    """Few pieces, or one that holds more than half of the text."""
-    return len(ends) < PIECES // 4 or int(np.diff(ends, prepend=0, append=size).max()) > size // 2
+def _ends(windows: np.ndarray, block: int) -> np.ndarray:
+    """Where pieces end at a block size: at the first trigger that is half a block or more after the last end, but four blocks after it at the latest."""
+    triggers = np.flatnonzero(windows <= np.uint32(2**32 // block - 1))
+    ends, last, size = [], -1, len(windows)
+    while True:
+        at = int(np.searchsorted(triggers, last + max(1, block // 2)))
+        end = min(int(triggers[at]) if at < len(triggers) else size, last + 4 * block)
+        if end >= size - 1:
+            return np.array([*ends, size - 1])
+        ends.append(end)
+        last = end
 
 
 def fingerprint(text: bytes) -> str:
@@ -68,23 +75,9 @@ def fingerprint(text: bytes) -> str:
     block = SMALLEST
     while block * PIECES < len(text):
         block *= 2
-    ends = np.flatnonzero(windows < np.uint32(2**32 // block))
-    while len(ends) > 2 * PIECES and block < 2**30:
-        block *= 2
-        ends = ends[windows[ends] < 2**32 // block]
-    while block > SMALLEST and _sparse(ends, len(text)):
-        block //= 2
-        ends = np.flatnonzero(windows < np.uint32(2**32 // block))
-    if len(text) > 2 * PIECES and _sparse(ends, len(text)):
-        ends = np.arange(len(text))  # too few different windows for any to be chosen by its hash
-    merged = len(ends) > 2 * PIECES
-    while len(ends) > 2 * PIECES:
-        block *= 2
-        ends = ends[1::2]
     spread = windows.astype(np.uint64)
     sums = np.cumsum((spread * spread + spread) * _PIECE)
-    coarse = ends[1::2] if merged else ends[windows[ends] < 2**32 // (2 * block)]
-    return f"{block}:{_signature(windows, sums, ends)}:{_signature(windows, sums, coarse)}"
+    return f"{block}:{_signature(sums, _ends(windows, block))}:{_signature(sums, _ends(windows, 2 * block))}"
 
 
 def _common(a: list[str], b: list[str]) -> int:

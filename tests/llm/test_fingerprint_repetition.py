@@ -28,3 +28,56 @@ def test_two_thirds_are_shared(line):
     text = line * (80_000 // len(line))
     new = edited(text, prose(14_000, 2))
     assert 0.5 < likeness(fingerprint(text.encode()), fingerprint(new.encode())) < 0.8
+
+
+def plain(text):
+    """The fingerprint by loops over positions."""
+    if not text:
+        return "1::"
+    factors, low = (0x01000193, 0x85EBCA6B, 0xC2B2AE35), 2**32
+    hashes = []
+    for i in range(len(text)):
+        out = 0
+        for k in range(min(8, i + 1)):
+            term = text[i - k] + 1
+            for bit, factor in enumerate(factors):
+                if k >> bit & 1:
+                    term *= factor
+            out += term
+        out %= low
+        out = (out ^ out >> 15) * 0x9E3779B1 % low
+        hashes.append(out ^ out >> 13)
+    block = 1
+    while block * 64 < len(text):
+        block *= 2
+    digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+    def signature(size):
+        said, start, piece = "", 0, 0
+        for i, h in enumerate(hashes):
+            piece = (piece + (h * h + h) * 0xD6E8FEB86659FD93) % 2**64
+            long = i - start + 1
+            if i == len(hashes) - 1 or (long >= max(1, size // 2) and h < low // size) or long == 4 * size:
+                two = piece * 0xD6E8FEB86659FD93 % 2**64 >> 52
+                said, start, piece = said + digits[two >> 6] + digits[two & 63], i + 1, 0
+        return said
+
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+@pytest.mark.parametrize("text", ["", "a", "ab", "é" * 40, "a" * 300, "ab" * 700, prose(300, 3), LINES[0] * 60 + prose(100, 4), "\0" * 65])
+def test_fingerprint_by_loops(text):
+    assert fingerprint(text.encode()) == plain(text.encode())
+
+
+@pytest.mark.parametrize("n", [3, 7, 20, 64, 65, 200, 900, 5000])
+def test_an_end_depends_on_what_is_before(n):
+    rng = random.Random(n)
+    for _ in range(20):
+        text = "".join(rng.choice("abc ") for _ in range(n))
+        cut = len(text) - len(text) // 3
+        other = text[:cut] + "".join(rng.choice("xyz\n") for _ in range(n - cut))
+        fine, changed = (fingerprint(x.encode()).split(":") for x in (text, other))
+        assert fine[0] == changed[0]
+        shared = next((i for i, (a, b) in enumerate(zip(fine[1], changed[1], strict=False)) if a != b), 0)
+        assert shared >= 2 * (cut / (4 * int(fine[0]) + 8)) // 2 * 2 - 2
