@@ -32,7 +32,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for the case of A-Z, the row with the largest id.
 
     A null text is an empty one; a null id stays only where no other has the text; of
-    repeated rows one stays; all columns are kept, whatever their names.
+    repeated rows one stays; all columns are kept, whatever their names.  Whole texts are
+    compared, however long; an empty table gives no rows.
     """
     return exact_dedup.deduplicate(docs, keep="largest")
 
@@ -41,7 +42,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each class of near-duplicates, the row with the smallest id.
 
     A null text is an empty one; texts without words are one class; null ids come last; of
-    rows that tie one stays; all columns are kept, whatever their names.
+    rows that tie one stays; all columns are kept, whatever their names.  Whole texts are
+    compared, however long; an empty table gives no rows.
     """
     return near_dedup.deduplicate(docs, weighted=True)
 
@@ -50,7 +52,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, repeated or left out so that sources come near their targets, in the schedule's order.
 
     Documents without words go; a null source is a source; repeated rows share their copies
-    evenly; all columns are kept, whatever their names; an empty table gives no rows.
+    evenly; rows without an id are documents like others; a text counts with all its words,
+    however long; all columns are kept, whatever their names; an empty table gives no rows.
     """
     return mixing.sample(docs)
 
@@ -58,7 +61,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, decoded (what the ids stand for) and n_tokens, a row per row.
 
-    A null text has no ids; texts of any length are encoded whole; further columns go.
+    A null text has no ids; texts of any length are encoded whole; rows without an id keep
+    none, repeated rows stay; further columns go; an empty table gives no rows.
     """
     out = bpe.encode(docs.select("doc_id", "lang", "source", "text"), tokenizer_path(), back="decoded")
     return out.drop("text").withColumn("n_tokens", F.size("ids"))
