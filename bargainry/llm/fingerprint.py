@@ -21,6 +21,7 @@ holds one text's hashes at a time.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -123,14 +124,16 @@ def edited(text: str, following: str) -> str:
 def _neighbours(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Blocks of consecutive ids, sorted descending, each followed by the next block's first row.
 
-    The bounds of the blocks and their first ids (one per block, as many blocks as tasks) go
-    through the driver; texts are shuffled once.
+    The bounds of the blocks and their first ids (one per block, at most four times as many
+    blocks as tasks) go through the driver; texts are shuffled once.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(key).cast("long").alias("id"), text_or_empty(F.col(text)).alias("text"))
     blocks = task_count(spark)
     shares = [i / blocks for i in range(1, blocks)]
-    bounds = sorted(set(plain.agg(F.percentile_approx("id", F.array(*map(F.lit, shares))) if shares else F.lit(None)).first()[0] or []))
+    found = plain.agg(F.percentile_approx("id", F.array(*map(F.lit, shares))) if shares else F.lit(None)).first()[0] or []
+    hot = {v: n for v, n in Counter(found).items() if n > 1}  # ids that more than a block's share of the rows have
+    bounds = sorted({*found, *(v - 1 for v in hot)})
     block = F.lit(0)
     if bounds:
         # the number of bounds below the id, by halving
@@ -142,7 +145,14 @@ def _neighbours(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         block = halve(0, len(bounds))
     # block 0 comes first in descending order; null ids are in a block of their own, the last
-    block = F.when(F.col("id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - block).cast("int")
+    block = F.when(F.col("id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - block)
+    # rows of a hot id, and those without one, are dealt to blocks by the hashes that order them
+    parts = F.when(F.col("id").isNull(), F.lit(blocks))
+    for v, n in hot.items():
+        parts = parts.when(F.col("id") == v, F.lit(n + 1))
+    parts = parts.otherwise(F.lit(1))
+    part = F.least(F.floor((F.xxhash64("text").cast("double") + 2.0**63) / 2.0**64 * parts), parts - 1)
+    block = (block * (blocks + 1) + part).cast("int")
     keyed = plain.withColumn("block", block)
     order = F.struct(F.coalesce(-F.col("id"), F.lit(2**63 - 1)), F.xxhash64("text"))
     firsts = keyed.groupBy("block").agg(F.min(order).alias("o")).select("block", "o.*").orderBy("block").collect()

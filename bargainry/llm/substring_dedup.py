@@ -24,8 +24,9 @@ whose words also start in a document with a smaller id; windows are judged on th
 
 In a shard, windows are the same only if their words are.  Between shards they are the same
 if 96 bits are: with 10^13 windows some 10^-3 pairs of different windows can be expected to
-share them; such a window would stay.  What a shard holds is bounded by ``SHARD_BYTES`` of text (or one document); the
-number of shards follows the size of the input.  A window that is in every shard meets in one
+share them.  Of such a pair in two shards, the window of the larger id would go as well; in
+one shard, one of the two would not be looked for.  What a shard holds is bounded by
+``SHARD_BYTES`` of text (or one document); the number of shards follows the size of the input.  A window that is in every shard meets in one
 task with a row of 24 bytes a shard, which Spark spills.
 
 Defined results: a null text has no words; a null id comes after all ids, so its windows go

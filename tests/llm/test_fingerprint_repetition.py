@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from bargainry.llm.fingerprint import PIECES, edited, fingerprint, likeness
+from pyspark.sql import functions as F
+
+from bargainry.llm.fingerprint import PIECES, _neighbours, compare_edits, edited, fingerprint, likeness
 
 
 def prose(n, seed):
@@ -81,3 +83,19 @@ def test_an_end_depends_on_what_is_before(n):
         assert fine[0] == changed[0]
         shared = next((i for i, (a, b) in enumerate(zip(fine[1], changed[1], strict=False)) if a != b), 0)
         assert shared >= 2 * (cut / (4 * int(fine[0]) + 8)) // 2 * 2 - 2
+
+
+def test_blocks_of_hot_ids(spark):
+    """A third of the rows without an id, a third of one id: in descending order all the same, and in many blocks."""
+    rng = random.Random(9)
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else i % 97, f"text {i} " + prose(6, i)) for i in range(240)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = [(r.block, r.id) for r in _neighbours(df, "doc_id", "text").where("not copy").collect()]
+    assert len({b for b, i in placed if i is None}) > 2 and len({b for b, i in placed if i == 50}) > 1
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))]
+    got = {r.fingerprint: r.edited for r in compare_edits(df).collect()}
+    assert len(got) == len(rows)
+    for here, following in zip(order, order[1:] + order[:1], strict=True):
+        assert got[fingerprint(here.encode())] == edited(here, following)
