@@ -75,11 +75,6 @@ def price_to_cents(text: Column | str) -> Column:
     return F.when(raw.isNull() | (raw == "") | other, F.lit(None).cast("long")).when(free, F.lit(0).cast("long")).otherwise(cents)
 
 
-def number_to_cents(value: Column | str) -> Column:
-    value = col(value).cast("double")
-    return F.when((value >= 0) & ~F.isnan(value), half_up(value * 100))
-
-
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     dlat, dlng = F.radians(lat2 - lat1), F.radians(lng2 - lng1)
     h = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlng / 2), 2)
@@ -120,13 +115,6 @@ def heat(votes: Column, pct: Column, posted: Column, source: Column, now: Column
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), half_up(score / sum(weights.values()) * 100, 1)))
 
 
-def rounded_median(prices: Column) -> Column:
-    """Median of an array of whole numbers; two middle ones give their mean, halves up."""
-    ordered, n = F.array_sort(prices), F.size(prices)
-    low, high = F.get(ordered, F.floor((n - 1) / 2).cast("int")), F.get(ordered, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, F.floor((low + high + 1) / 2).cast("long"))
-
-
 def gtin_valid(code: Column | str) -> Column:
     """Check digit of 8, 12, 13 or 14 digits."""
     digits = F.regexp_replace(col(code), r"\D", "")

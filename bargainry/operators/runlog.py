@@ -151,10 +151,6 @@ def runnable(catalogue: DataFrame) -> DataFrame:
     return catalogue.where("error is null and coalesce(enabled, true) and coalesce(status, 'unverified') <> 'blocked'")
 
 
-def of_family(catalogue: DataFrame, family: str) -> DataFrame:
-    return catalogue.where(F.col("family") == family)
-
-
 def coverage(catalogue: DataFrame, facet: DataFrame) -> DataFrame:
     """Every retailer of the catalogue (slug, covered_by, enabled, status) with its deals and a label; ``facet`` counts by merchant."""
     counts = facet.select(F.col("value").alias("slug"), F.col("count").alias("deals"))

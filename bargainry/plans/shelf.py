@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from re import _parser as patterns
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,36 +11,51 @@ from ..functions import rules
 from . import mart
 
 
-def _spelled(parsed) -> list[str]:
-    """Texts that fit: each alternative of each part once, beside the first ones of the others."""
+#: Stands for one character of a class.
+_CLASSES = {"d": "7", "s": " ", "w": "w"}
+_ATOM = re.compile(r"\\(?P<escaped>.)|\[(?P<set>\^?\]?[^\]]*)\]|\((?P<group>\?(?:[:=!]|<[=!]))?|(?P<plain>[^|)])", re.DOTALL)
+_TIMES = re.compile(r"([?*+])\??|\{(\d+)(?:,\d*)?\}\??")
+
+
+def _spell(pattern: str, at: int = 0) -> tuple[list[str], int]:
+    """Texts that fit a pattern's alternatives from ``at`` on, and where these end: each part's alternatives once, beside the first ones of the others."""
+    out: list[str] = []
     parts: list[list[str]] = []
-    for op, value in parsed:
-        name = str(op)
-        if name == "LITERAL":
-            parts.append([chr(value)])
-        elif name == "BRANCH":
-            parts.append([x for branch in value[1] for x in _spelled(branch)])
-        elif name == "SUBPATTERN":
-            parts.append(_spelled(value[3]))
-        elif name == "ASSERT":
-            parts.append([" " + x for x in _spelled(value[1])])
-        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
-            least, most, inner = value
-            once = _spelled(inner)
-            parts.append([x * max(1, least) for x in once] + [""] * (least == 0) if most else [""])
-        elif name == "IN":
-            first = {"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(v[0]), "CATEGORY": lambda v: {"CATEGORY_DIGIT": "7", "CATEGORY_SPACE": " "}.get(str(v), "w")}
-            parts.append([first[str(o)](v) for o, v in value if str(o) in first])
-        elif name == "ANY":
-            parts.append([""])
-    out = ["".join(p[0] for p in parts)]
-    for i, part in enumerate(parts):
-        out += ["".join((x if j == i else p[0]) for j, p in enumerate(parts)) for x in part[1:]]
-    return out
+
+    def put_together() -> None:
+        out.append("".join(p[0] for p in parts))
+        for i, part in enumerate(parts):
+            out.extend("".join(x if j == i else p[0] for j, p in enumerate(parts)) for x in part[1:])
+
+    while at < len(pattern) and pattern[at] != ")":
+        if pattern[at] == "|":
+            put_together()
+            parts, at = [], at + 1
+            continue
+        found = _ATOM.match(pattern, at)
+        at = found.end()
+        if found["escaped"]:
+            texts = [""] if found["escaped"] in "bB" else [_CLASSES.get(found["escaped"].lower(), found["escaped"])]
+        elif found["set"] is not None:
+            texts = list(dict.fromkeys(_CLASSES.get(a[1:], a[-1]) if a[0] == "\\" else a[0] for a in re.findall(r"\\.|.-.|.", found["set"])))
+        elif found["plain"]:
+            texts = [""] if found["plain"] in "^$." else [found["plain"]]
+        else:
+            texts, at = _spell(pattern, at)
+            at += 1
+            if found["group"] and found["group"] != "?:":
+                texts = [" " + x for x in texts] if found["group"] == "?=" else [""]
+        times = _TIMES.match(pattern, at)
+        if times:
+            least = int(times[2]) if times[2] else int(times[1] == "+")
+            texts, at = [x * max(1, least) for x in texts] + [""] * (least == 0), times.end()
+        parts.append(texts)
+    put_together()
+    return out, at
 
 
 def spelled(*tables: tuple[str, ...]) -> list[str]:
-    found = (x.strip() for table in tables for pattern in table for x in _spelled(patterns.parse(pattern)))
+    found = (x.strip() for table in tables for pattern in table for x in _spell(pattern)[0])
     return list(dict.fromkeys(found))
 
 
