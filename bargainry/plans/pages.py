@@ -7,21 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, places, scalars, text
 from ..operators import dealquery as dq
-from ..operators import evaluate, mutations, normalize, present, runlog, sets, verify
+from ..operators import evaluate, mutations, normalize, present, runlog, sets
 from ..operators.dealquery import DealQuery
 from ..schemas import SOURCE_RUNS, USAGE
 from ..streaming import ingest
 from . import mart
 from .mart import oracle
 from .queries import _FRESH, _RELATED, _km, NOW, query, related, verified
-from .shelf import quoted
 
 _SHOWN = f"(SELECT *, 'deal-' || id AS slug, 'https://x.ca/' || id AS url, merchant_id AS store_id FROM {_RELATED.format('verified')})"
 
 
-def _shown(spark, sf_dir) -> DataFrame:
-    """Verified deals with relations, as pages see them."""
-    rows = related(spark, sf_dir, verified(spark, sf_dir))
+def _shown(spark, sf_dir, of: DataFrame | None = None) -> DataFrame:
+    """Verified deals with relations, as pages see them; with ``of``, those of its products only."""
+    rows = related(spark, sf_dir, verified(spark, sf_dir, of))
     return rows.withColumns({"slug": F.concat(F.lit("deal-"), "id"), "url": F.concat(F.lit("https://x.ca/"), "id"), "store_id": F.col("merchant_id")})
 
 
@@ -84,9 +83,10 @@ _BEST = "CASE verdict WHEN 'verified-low' THEN 3 WHEN 'verified-good' THEN 2 WHE
     ),
 )
 def _deal_page(spark, sf_dir):
-    slug = "deal-" + mart.deals(spark, sf_dir).agg(F.min("id")).first()[0]
+    deals = mart.deals(spark, sf_dir)
+    id, category = deals.agg(F.min(F.struct("id", "category"))).select("*").first()[0]
     points = mart.price_points(spark, sf_dir).select("id", F.lit("none").alias("deal_id"), "price", "observed_at")
-    own, _, alike = present.deal_page(_shown(spark, sf_dir), points, slug, NOW)
+    own, _, alike = present.deal_page(_shown(spark, sf_dir, deals.where(F.col("category") == category)), points, f"deal-{id}", NOW)
     rows = own.select(F.lit("deal").alias("part"), "id", F.col("headline_discount").alias("headline"), "unconfirmed")
     return rows.unionByName(alike.select(F.lit("related").alias("part"), "id"), allowMissingColumns=True)
 
@@ -119,8 +119,9 @@ def _store_page(spark, sf_dir):
 
 @query("q88_comparison", oracle(f"SELECT id, title, coalesce(merchant_name, 'Unknown store') AS store, {_money('price_now')} AS price, verdict FROM {_SHOWN} WHERE id IN (SELECT unnest([min(id), max(id)]) FROM deals)", "merchants", "verified"))
 def _comparison(spark, sf_dir):
-    ids = list(mart.deals(spark, sf_dir).agg(F.min("id"), F.max("id")).first())
-    return present.compare(_shown(spark, sf_dir), ids).select("id", "title", "store", "price", "verdict")
+    deals = mart.deals(spark, sf_dir)
+    ids = list(deals.agg(F.min("id"), F.max("id")).first())
+    return present.compare(_shown(spark, sf_dir, dq.by_ids(deals, ids)), ids).select("id", "title", "store", "price", "verdict")
 
 
 @query("q89_escaped", """SELECT event_id, replace('{"t":"<b>' || event_type || '</b>","n":' || event_id || '}', '<', '\\u003c') AS payload FROM events""")

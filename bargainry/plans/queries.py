@@ -33,9 +33,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The deals with verdicts.  Rivals, histories and the deals themselves read the deals, so they are written once."""
-    return verify.verify(saved(mart.deals(spark, sf_dir)), mart.price_points(spark, sf_dir), mart.now())
+def verified(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """The deals with verdicts, or those of the products that the deals ``of`` are of.
+
+    Rivals, histories and the deals themselves read the deals, so they are written once.
+    """
+    deals, points = mart.deals(spark, sf_dir), mart.price_points(spark, sf_dir)
+    if of is not None:  # a verdict depends on the deals and prices of its product
+        asked = saved(of.select("product_key").distinct())
+        deals, points = (df.join(asked, "product_key", "left_semi") for df in (deals, points))
+    return verify.verify(saved(deals), points, mart.now())
 
 
 def related(spark: SparkSession, sf_dir: str, deals: DataFrame | None = None) -> DataFrame:
@@ -195,7 +202,8 @@ def _stores_near(spark, sf_dir):
 )
 def _deals_near(spark, sf_dir):
     places = mart.stores(spark, sf_dir).select(F.col("id").alias("store"), "lat", "lng")
-    deals = verified(spark, sf_dir).join(places, F.col("merchant_id") == F.col("store"))
+    near = dq.within(places, *_SHOP).select(F.col("store").alias("merchant_id"))
+    deals = verified(spark, sf_dir, mart.deals(spark, sf_dir).join(near, "merchant_id", "left_semi")).join(places, F.col("merchant_id") == F.col("store"))
     return dq.deals_near(deals, DealQuery(near=_SHOP), NOW).select("id", "store", "heat", scalars.half_up("distance_km", 3).alias("km"))
 
 

@@ -16,7 +16,7 @@ from .mart import oracle
 from .more import _payloads, _size
 from .pages import _shown
 from .pages import _SHOWN as _SHOWN_SQL
-from .queries import _FRESH, _RELATED, NOW, _km, query, related, verified
+from .queries import _FRESH, _RELATED, NOW, _km, query, related
 
 # Merging ------------------------------------------------------------------------------------
 
@@ -171,10 +171,10 @@ def _tools(spark, sf_dir):
 )
 def _deal_page(spark, sf_dir):
     """A deal's page with the recorded prices of its product."""
-    deals = dedupe.saved(_shown(spark, sf_dir))
-    last = deals.orderBy(F.desc("id")).first()
+    last = mart.deals(spark, sf_dir).select("id", "category").orderBy(F.desc("id")).first()
+    deals = dedupe.saved(_shown(spark, sf_dir, mart.deals(spark, sf_dir).where(F.col("category") == last.category)))
     points = mart.price_points(spark, sf_dir).join(deals.select("product_key", F.col("id").alias("deal_id")), "product_key").select("id", "deal_id", "price", "observed_at")
-    own, seen, alike = present.deal_page(deals, points, last.slug, NOW)
+    own, seen, alike = present.deal_page(deals, points, f"deal-{last.id}", NOW)
     rows = seen.select(F.lit("point").alias("part"), "id", "price", "observed_at")
     return rows.unionByName(own.select(F.lit("deal").alias("part"), "id"), allowMissingColumns=True).unionByName(alike.select(F.lit("related").alias("part"), "id"), allowMissingColumns=True)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import sql
 from . import mart
 from .mart import oracle
-from .markup import _filled, _id
+from .markup import _filled
 from .more import _size
 from .queries import _km, query
 

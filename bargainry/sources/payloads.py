@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import let
 from ..functions.text import strip_html
 from ..schemas import RAW
 from .selectors import every, first, select
