@@ -585,4 +585,4 @@ def test_running_before(spark):
 
 
 def test_queries_registered():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
