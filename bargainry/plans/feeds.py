@@ -71,7 +71,7 @@ def _product(spark, sf_dir):
     listed = F.when(_key() % 4 == 1, F.concat(F.lit('{"@graph":['), json, F.lit("]}"))).when(_key() % 4 == 2, F.concat(F.lit('[{"@type":"Thing"},'), json, F.lit("]"))).otherwise(json)
     page = F.concat(F.lit("<html><script type='application/ld+json'>{broken</script><script type=\"application/ld+json\">"), listed, F.lit("</script></html>"))
     graph = F.concat(F.lit('<meta property="og:title" content="'), "p_name", F.lit('"><meta content="'), _size(), F.lit('.00" property="product:price:amount">'))
-    pages = mart.table(spark, sf_dir, "part").select(F.lit("s").alias("source"), F.concat(F.lit("https://p.ca/"), _n()).alias("url"), F.when(_key() % 4 == 3, graph).otherwise(page).alias("payload"))
+    pages = mart.parts(spark, sf_dir).select(F.lit("s").alias("source"), F.concat(F.lit("https://p.ca/"), _n()).alias("url"), F.when(_key() % 4 == 3, graph).otherwise(page).alias("payload"))
     return payloads.product_page(pages).select("title", F.col("price").cast("double").alias("price"), "brand", "in_stock", "url")
 
 
@@ -92,7 +92,7 @@ def _rss(spark, sf_dir):
 
 @query("q127_delimited_feed", "SELECT CAST(p_partkey AS VARCHAR) AS source_id, trim(p_name) AS title, p_size::DOUBLE AS price, p_size + 1.0::DOUBLE AS price_was, p_partkey % 4 <> 3 AS in_stock FROM part WHERE p_partkey % 2 = 1")
 def _feed(spark, sf_dir):
-    rows = mart.table(spark, sf_dir, "part").select(
+    rows = mart.parts(spark, sf_dir).select(
         _n().alias("g:id"), F.col("p_name").alias("g:title"), F.concat((F.col("p_size") + _key() % 2).cast("string"), F.lit(".00 CAD")).alias("price"), _size().alias("special_price"), F.when(_key() % 4 == 3, "out of stock").otherwise("in stock").alias("availability")
     )
     return payloads.feed(rows, "feed").select("source_id", "title", F.col("price").cast("double").alias("price"), F.col("price_was").cast("double").alias("price_was"), "in_stock")
@@ -147,7 +147,7 @@ _HANDLES = ("sale", "big-sale", "summer", "outlet-x", "deals", "dealsx", "final-
 )
 def _collections(spark, sf_dir):
     page = F.to_json(F.struct(F.array(*[F.struct(F.lit(h).alias("handle")) for h in _HANDLES]).alias("collections")))
-    pages = mart.table(spark, sf_dir, "part").select(_n().alias("source"), page.alias("payload"))
+    pages = mart.parts(spark, sf_dir).select(_n().alias("source"), page.alias("payload"))
     tried = pages.where("cast(source as long) % 2 = 0").select("source", F.lit("sale").alias("handle"))
     return grids.sale_collections(pages, tried=tried)
 
@@ -164,7 +164,7 @@ def _sale_pages(spark, sf_dir):
 def _posts(spark, sf_dir) -> DataFrame:
     link = F.when(_key() % 4 == 0, "https://www.walmart.ca/ip/1").when(_key() % 4 == 1, "https://notwalmart.ca/x").when(_key() % 4 == 2, "https://shop.walmart.ca/x").otherwise("https://forum.ca/t")
     dealer = F.when(_key() % 3 == 0, "The WALMART Store").when(_key() % 3 == 1, "Costco")
-    return payloads.as_raw(mart.table(spark, sf_dir, "part"), source=F.lit("forum"), source_id=_n(), title=F.col("p_name"), url=link, merchant_name=dealer)
+    return payloads.as_raw(mart.parts(spark, sf_dir), source=F.lit("forum"), source_id=_n(), title=F.col("p_name"), url=link, merchant_name=dealer)
 
 
 _ABOUT = "p_partkey % 4 IN (0, 2) OR p_partkey % 3 = 0"
@@ -182,7 +182,7 @@ def _of_retailers(spark, sf_dir):
 
 
 def _club(spark, sf_dir):
-    rows = mart.table(spark, sf_dir, "part")
+    rows = mart.parts(spark, sf_dir)
     own = lambda condition, source: payloads.as_raw(rows.where(condition), source=F.lit(source), source_id=_n(), url=F.concat(F.when(F.lit(source == "blog"), "HTTPS://c.ca/").otherwise("https://c.ca/"), _n()), merchant_name=F.lit("Costco"))
     return grids.club(own("p_partkey % 7 = 0", "page"), own("p_partkey % 3 = 0", "blog"), own("p_partkey % 2 = 0", "forum"), own("false", "store"), "c.ca", ("costco",))
 
@@ -207,7 +207,7 @@ def _club_attempts(spark, sf_dir):
 )
 def _validation(spark, sf_dir):
     fields = {n: F.lit("x") for n in ("url", "title", "source_id")}
-    rows = mart.table(spark, sf_dir, "part").select(
+    rows = mart.parts(spark, sf_dir).select(
         "p_partkey", F.when(~(_key() % 5).isin(0, 3), fields["url"]).alias("url"), F.when(_key() % 5 == 1, "").when(_key() % 5 == 3, None).otherwise("x").alias("title"), F.when(_key() % 5 != 2, "x").alias("source_id")
     )
     return normalize.validate(rows).select("p_partkey", "drop_reason")

@@ -50,7 +50,7 @@ def _fragments(spark, sf_dir):
         _filled("<div class='product-tile'>", anchor, plain, "<b class=sales content=none><i class=value content='0'>free</i>", _size(), ",50 $</b></div>"),
     ]
     html = F.get(F.array(*shapes), (_key() % len(shapes)).cast("int"))
-    tiles = mart.table(spark, sf_dir, "part").select(_id().alias("source"), html.alias("payload"))
+    tiles = mart.parts(spark, sf_dir).select(_id().alias("source"), html.alias("payload"))
     return _priced(grids.grid(tiles, "https://s.ca", "s.ca"), "url", "brand", "in_stock")
 
 
@@ -72,7 +72,7 @@ def _store_clearance(spark, sf_dir):
     row = _filled("<tr class=item><td class=t> ", F.col("p_name"), "<td>", link, "<td>$", _size(), "<td><b>", _size(1), "</b>.00<td>", (_key() % 3).cast("string"), " left<td>", aisle)
     html = _filled("<table><tr><th>Item<th>x<tr><td class=t>ab<td>", row, "</table><div class='clearance-item'><h3 class='item-name'>No more!</h3></div>")
     chain = F.get(F.array(F.lit("walmart"), F.lit("marks"), F.lit("corner-shop"), F.lit(None).cast("string")), (_key() % 4).cast("int"))
-    pages = mart.table(spark, sf_dir, "part").select(F.lit("in-store").alias("source"), _filled("S/", _id()).alias("store_id"), chain.alias("chain"), html.alias("payload"))
+    pages = mart.parts(spark, sf_dir).select(F.lit("in-store").alias("source"), _filled("S/", _id()).alias("store_id"), chain.alias("chain"), html.alias("payload"))
     shifted = {"title": "td.t, .item-name", "price": "tr > td:nth-child(3)", "regular": "td:nth-child(4)", "quantity": "td:nth-child(5)", "aisle": "td:nth-child(6)"}
     out = payloads.store_clearance(pages, "https://t.ca/", selectors=shifted)
     return out.select("source_id", "title", "price", "price_was", "url", "merchant_domain", "in_stock", "stock_note")
@@ -102,7 +102,7 @@ def _selected(spark, sf_dir):
 )
 def _pool(spark, sf_dir):
     """The clearance source fills the run's pool; the club takes its own stores' from there after its pages."""
-    part = mart.table(spark, sf_dir, "part")
+    part = mart.parts(spark, sf_dir)
     html = _filled("<div class=clearance-item><i class=item-name>Thing ", _id(), "</i><b class=clearance-price>", _size(), "</b><a href='https://", F.when(_key() % 4 == 0, "walmart.ca").otherwise("other.ca"), "/c/", _id(), "'>x</a></div>")
     chain = F.when(_key() % 4 == 0, "walmart").otherwise("marks")
     pool = payloads.store_clearance(part.select(F.lit("in-store").alias("source"), _filled("S", _id()).alias("store_id"), chain.alias("chain"), html.alias("payload")))

@@ -56,7 +56,7 @@ def _postal(spark, sf_dir):
 
 
 def _payloads(spark, sf_dir, payload) -> DataFrame:
-    return mart.table(spark, sf_dir, "part").select(F.lit("part").alias("source"), payload.alias("payload"))
+    return mart.parts(spark, sf_dir).select(F.lit("part").alias("source"), payload.alias("payload"))
 
 
 def _shown(raw: DataFrame) -> DataFrame:

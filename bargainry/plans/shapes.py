@@ -17,7 +17,7 @@ _FOUND = "CASE WHEN p_partkey % 14 IN (0, 2, 3, 4, 12) THEN 'X' || p_partkey WHE
 def _first(spark, sf_dir):
     json = F.replace(F.get(F.array(*map(F.lit, _SHAPES)), (F.col("p_partkey") % len(_SHAPES)).cast("int")), F.lit("@"), _id())
     json = F.when(F.col("p_partkey") % len(_SHAPES) == 4, _filled('{"@id": {"name": "X', _id(), '"}}')).when(F.col("p_partkey") % len(_SHAPES) == 3, _filled('{"name": null, "url": "X', _id(), '", "@id": "no"}')).otherwise(json)
-    return mart.table(spark, sf_dir, "part").select("p_partkey", nested.first_string(F.try_parse_json(json)).alias("found"))
+    return mart.parts(spark, sf_dir).select("p_partkey", nested.first_string(F.try_parse_json(json)).alias("found"))
 
 
 @query(
@@ -26,5 +26,5 @@ def _first(spark, sf_dir):
 )
 def _lists(spark, sf_dir):
     shapes = [_filled('["a", ', _id(), ', null, {"k": 1}]'), F.lit(" [] "), F.lit('{"a": []}'), F.lit("[1,"), F.lit("  "), F.lit(None).cast("string")]
-    rows = mart.table(spark, sf_dir, "part").select("p_partkey", nested.json_list(F.get(F.array(*shapes), (F.col("p_partkey") % 6).cast("int"))).alias("l"))
+    rows = mart.parts(spark, sf_dir).select("p_partkey", nested.json_list(F.get(F.array(*shapes), (F.col("p_partkey") % 6).cast("int"))).alias("l"))
     return rows.select("p_partkey", F.array_join("l", "|").alias("said"), F.when(F.col("l").isNotNull(), F.size("l")).alias("n"))

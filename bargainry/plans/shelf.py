@@ -99,7 +99,7 @@ def pick_sql(texts: list[str | None], key: str, step: int = 1) -> str:
 def parts(spark, sf_dir: str, texts: list[str]) -> DataFrame:
     """p_partkey, p_brand, title, description, hint, merchant; the title names one of ``texts``."""
     title = F.concat(pick(TITLE_MARKS, "p_partkey", 7), F.col("p_name"), F.lit(" "), pick(texts, "p_partkey"), pick(ENDINGS, "p_partkey", 5))
-    return mart.table(spark, sf_dir, "part").select(
+    return mart.parts(spark, sf_dir).select(
         "p_partkey", "p_brand", title.alias("title"), pick(DESCRIPTIONS, "p_partkey", 3).alias("description"),
         pick(DEPARTMENT_HINTS, "p_partkey", 2).alias("hint"), pick(MERCHANTS, "p_partkey").alias("merchant"),
     )

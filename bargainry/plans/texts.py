@@ -175,7 +175,7 @@ def _coupon_sql() -> str:
 @query("q58_coupon", _coupon_sql())
 def _coupon(spark, sf_dir):
     body = F.concat(shelf.pick(shelf.COUPON_TEXTS, "p_partkey"), F.lit(" "), F.col("p_name"))
-    found = shelf.mart.table(spark, sf_dir, "part").select("p_partkey", rules.coupon(body).alias("x"))
+    found = shelf.mart.parts(spark, sf_dir).select("p_partkey", rules.coupon(body).alias("x"))
     return found.select("p_partkey", "x.code", F.col("x.text").alias("rest"))
 
 

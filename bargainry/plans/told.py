@@ -55,5 +55,5 @@ def _feeds(spark, sf_dir):
     sql.register(spark)
     commas = _filled('ID,Title , Price\r\n1,"', F.col("p_name"), ', ""x""",', _size(), "\r\n,,\r\n2,,7\r\n")
     tabs = _filled("﻿title\tprice\n ", F.col("p_name"), ', "x"\t', _size())
-    texts = mart.table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 1, commas).otherwise(tabs).alias("content"))
+    texts = mart.parts(spark, sf_dir).select("p_partkey", F.when(F.col("p_partkey") % 2 == 1, commas).otherwise(tabs).alias("content"))
     return spark.sql("SELECT p_partkey, t.row, t.fields['title'] AS title, t.fields['price'] AS price FROM {feeds}, LATERAL feed_rows(content) t", feeds=texts)
