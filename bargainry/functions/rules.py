@@ -204,11 +204,16 @@ NOT_CODES = (
 )
 
 _EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+#: The edge before what can only start with a word's character.
+_START = r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])"
+#: A group of alternatives without groups of their own that may be left out, each from a letter or digit on that has to be there.
+_WORDS = re.compile(r"\\b\((?:\?:)?((?:[a-z0-9](?![?*{])[^|()]*)(?:\|[a-z0-9](?![?*{])[^|()]*)*)\)(?![?*{])")
 
 
 def ascii_words(pattern: str) -> str:
     """The pattern for the JVM: no case, and word edges that know ASCII only."""
-    return "(?iu)" + pattern.replace(r"\b", _EDGE)
+    at = 2 if _WORDS.match(pattern) and "|" not in _WORDS.sub("", pattern, count=1) else 0
+    return "(?iu)" + (_START if at else "") + pattern[at:].replace(r"\b", _EDGE)
 
 
 def matches(text: Column, pattern: str) -> Column:
