@@ -77,3 +77,23 @@ def test_late_rows_and_forgotten_keys(spark, states, tmp_path):
 def test_a_store_that_cannot_hold_the_state(spark):
     with pytest.raises(ValueError, match="providerClass"):
         changes.change_stream(spark.createDataFrame([], SCHEMA), "1 day")
+
+
+@pytest.mark.parametrize("split", [1, 4])
+def test_a_key_is_forgotten_in_any_split(spark, states, tmp_path, split):
+    """After 30 days without a row the next price is new, whether or not the watermark has passed by then."""
+    states()
+    rows = [(f"{key}{d}", key, price, DAY + timedelta(days=d)) for key in "ab" for d, price in ((0, 5), (10, 5), (39, 5), (69, 5), (70, 5), (71, None), (72, None))]
+    for n in range(split):
+        add(spark, f"{tmp_path}/in", rows[n::split])
+    add(spark, f"{tmp_path}/in", [("end", "end", 1, DAY + timedelta(days=300))])
+    got = changes.changes_of_files(spark, f"{tmp_path}/in", SCHEMA, str(tmp_path), "200 days", forget_days=30)
+    assert sorted(r.id for r in got.where("key <> 'end'").collect()) == ["a0", "a69", "a71", "b0", "b69", "b71"]
+
+
+def test_keys_share_states(spark, states, tmp_path):
+    """A state for each key took calls from Python for each of them in each batch."""
+    states()
+    add(spark, f"{tmp_path}/in", [("1", "a", 1, DAY)])
+    out = changes.change_stream(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), "1 day")
+    assert "pmod(xxhash64(key" in out._jdf.queryExecution().analyzed().toString()
