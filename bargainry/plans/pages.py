@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, places, scalars, text
 from ..operators import dealquery as dq
-from ..operators import evaluate, mutations, normalize, present, runlog, sets
+from ..operators import dedupe, evaluate, mutations, normalize, present, runlog, sets, verify
 from ..operators.dealquery import DealQuery
 from ..schemas import SOURCE_RUNS, USAGE
 from ..streaming import ingest
@@ -24,6 +24,14 @@ def _shown(spark, sf_dir, of: DataFrame | None = None) -> DataFrame:
     return rows.withColumns({"slug": F.concat(F.lit("deal-"), "id"), "url": F.concat(F.lit("https://x.ca/"), "id"), "store_id": F.col("merchant_id")})
 
 
+def _kept(shown: DataFrame) -> DataFrame:
+    """Shown deals, written once without the texts that their other columns tell, which are added again."""
+    told = [c for c in ("slug", "url", "store_id", "quality_note") if c in shown.columns]
+    rows = dedupe.saved(shown.drop(*told))
+    texts = {"slug": F.concat(F.lit("deal-"), "id"), "url": F.concat(F.lit("https://x.ca/"), "id"), "store_id": F.col("merchant_id"), "quality_note": verify.quality_note()}
+    return rows.withColumns({c: texts[c] for c in told}).select(*shown.columns)
+
+
 def _money(c: str) -> str:
     return f"CASE WHEN {c} IS NULL THEN '—' WHEN {c} = 0 THEN 'Free' ELSE '$' || format('{{:,.2f}}', {c} / 100.0::DOUBLE) END"
 
