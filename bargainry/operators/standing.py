@@ -24,36 +24,66 @@ from .dedupe import saved
 from .running import running_before, tasks
 from .verify import HISTORY_LEAST
 
-#: Pairs of a block; in a block each is held against each.
-BLOCK = 1024
+#: Pairs of a block, which a task holds at once.
+BLOCK = 65_536
+
+
+def _lower(start: np.ndarray, price: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each pair, how many points of its block's pairs before it have lower prices.
+
+    ``start`` is the place of the first pair of a pair's block.  As between blocks: of the
+    halves of each stretch of 2, 4, 8 ... pairs, the second asks how much of the first is cheaper.
+    """
+    lower, local = np.zeros(len(price), np.int64), np.arange(len(price)) - start
+    by_price = np.lexsort((price, start))
+    places, width = np.arange(len(price)), 1
+    while len(price) and width <= local.max():
+        stretch = start + local // (2 * width) * (2 * width)
+        order = by_price[np.argsort(stretch[by_price], kind="stable")]
+        first = local[order] // width % 2 == 0
+        weight = np.where(first, n[order], 0)
+        before = np.cumsum(weight) - weight
+        turn = np.append(True, np.diff(stretch[order]) != 0)
+        step = turn | np.append(True, np.diff(price[order]) != 0)
+        since = lambda flags: before[np.maximum.accumulate(np.where(flags, places, 0))]
+        lower[order[~first]] += (since(step) - since(turn))[~first]
+        width *= 2
+    return lower
 
 
 def _inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds ``lower``: of the pairs of the block that come before, the points at lower prices; a block's rows follow one another."""
-    held = None
+    held: list[pa.RecordBatch] = []
 
-    def counted(rows: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+    def counted() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
         price, n = (np.asarray(rows.column(c), np.int64) for c in ("price", "n"))
-        lower = np.zeros(len(price), np.int64)
-        for at, end in zip([0, *cuts], [*cuts, len(price)], strict=True):
-            own = price[at:end]
-            lower[at:end] = np.tril(own[:, None] > own, -1) @ n[at:end]
-        yield from rows.append_column("lower", pa.array(lower)).to_batches()
+        turns = np.append(True, _turns(rows))
+        start = np.maximum.accumulate(np.where(turns, np.arange(len(price)), 0))
+        yield from rows.append_column("lower", pa.array(_lower(start, price, n))).to_batches()
 
     for batch in batches:
-        whole = pa.Table.from_batches([*held.to_batches(), batch] if held else [batch]).combine_chunks()
-        if not whole.num_rows:
+        if not batch.num_rows:
             continue
-        differs = np.zeros(whole.num_rows - 1, bool)
-        for c in ("block", "group"):
-            column = whole.column(c).combine_chunks()
-            differs |= np.asarray(pc.not_equal(column[1:], column[:-1]))
-        cuts = (np.flatnonzero(differs) + 1).tolist()
-        held = whole.slice(cuts[-1]) if cuts else whole
-        if cuts:
-            yield from counted(whole.slice(0, cuts[-1]), cuts[:-1])
-    if held is not None and held.num_rows:
-        yield from counted(held, [])
+        behind = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+        turns = np.flatnonzero(_turns(pa.Table.from_batches([*behind, batch]).combine_chunks())) + 1 - len(behind)
+        last = int(turns[-1]) if len(turns) else None
+        if last is not None:  # blocks end in this batch
+            held.append(batch.slice(0, last))
+            yield from counted()
+            held = []
+        held.append(batch.slice(last or 0))
+    if held:
+        yield from counted()
+
+
+def _turns(rows: pa.Table) -> np.ndarray:
+    """Whether a row is of another block than the one before it, from the second row on."""
+    differs = np.zeros(rows.num_rows - 1, bool)
+    for c in ("block", "group"):
+        column = rows.column(c).combine_chunks()
+        differs |= np.asarray(pc.not_equal(column[1:], column[:-1]))
+    return differs
 
 
 def _large(placed: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ import random
 from datetime import datetime, timedelta
 from math import asin, cos, radians, sin, sqrt
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +86,23 @@ def test_no_distance(spark, bad):
     none = spark.createDataFrame([], "id int, lat double, lng double")
     with pytest.raises(ValueError):
         nearby.within_km(none, none, bad)
+
+
+@pytest.mark.parametrize("cut", [1, 3, 1000])
+def test_blocks_of_any_size_in_any_batches(cut):
+    """Blocks are counted together, in n log(n), wherever batches end."""
+    rng = random.Random(cut)
+    blocks = [(g, b) for g in "ab" for b in range(3)]
+    rows = [(g, b, rng.randrange(9), rng.randrange(1, 4)) for g, b in blocks for _ in range(rng.choice([1, 2, 17, 64]))]
+    table = pa.table(dict(zip(("group", "block", "price", "n"), map(list, zip(*rows, strict=True)), strict=True)))
+    got = pa.Table.from_batches(standing._inside(iter(table.to_batches(max_chunksize=cut)))).to_pylist()
+    want = [sum(n for g, b, price, n in rows[:i] if (g, b) == r[:2] and price < r[2]) for i, r in enumerate(rows)]
+    assert [r["lower"] for r in got] == want and [tuple(r.values())[:4] for r in got] == rows
+
+
+def test_a_large_block_is_counted_at_once():
+    """Holding each pair against each took 5 bytes a couple of pairs: 17 GB for this block."""
+    n = standing.BLOCK
+    price = np.arange(n) * 7919 % n
+    lower = standing._lower(np.zeros(n, np.int64), price, np.ones(n, np.int64))
+    assert n > 50_000 and all(lower[i] == (price[:i] < price[i]).sum() for i in range(0, n, 5000))
