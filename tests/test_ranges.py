@@ -101,7 +101,7 @@ def test_blocks_of_any_size_in_any_batches(cut):
 
 
 def test_a_large_block_is_counted_at_once():
-    """Holding each pair against each took 5 bytes a couple of pairs: 17 GB for this block."""
+    """Each pair held against each would be 65,536 squared truth values, 4 GB."""
     n = standing.BLOCK
     price = np.arange(n) * 7919 % n
     lower = standing._lower(np.zeros(n, np.int64), price, np.ones(n, np.int64))
