@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -367,6 +368,25 @@ def test_bpe(spark, docs, empty):
     assert bpe.decode(bpe.encode(empty, path), path).count() == 0
 
 
+def test_bpe_long_words_and_rows():
+    """Words on both sides of the length from which a heap orders the merges; a task holds about half a megabyte of texts at once, not 500 rows."""
+    from tokenizers import Tokenizer
+
+    path, rng = queries.tokenizer_path(), random.Random(5)
+    library = Tokenizer.from_file(path)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    texts = [" ".join(word(n, letters) for n in (1, 2, 7, 30, 63, 64, 65, 66, 200)) for letters in ("ab", "aé", "etaoinshr", "!?.", "日本語x", "e'st1") for _ in range(5)]
+    texts += [" ".join(f"{word(6, 'etaoinshr')}" for _ in range(20_000)), None, ""] * 20
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    parts = list(bpe._encoder(path, "text", "ids", "back")(iter([batch])))
+    rows = [row for part in parts for row in part.to_pylist()]
+    assert [r["text"] for r in rows] == texts and len(parts) > 1
+    assert max(part.num_rows for part in parts) < len(texts) and all(part.column("text").nbytes < 2_000_000 or part.num_rows == 1 for part in parts)
+    for r in rows[:40]:
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+        assert r["ids"] == ids and r["back"] == library.decode(ids, skip_special_tokens=False)
+
+
 # 7 substring dedup
 
 
