@@ -68,7 +68,12 @@ def objects_under(payloads: DataFrame, names: tuple[str, ...], depth: int, below
 
 
 def _found(payloads: DataFrame, names: tuple[str, ...], depth: int, below: bool, schema: str) -> DataFrame:
-    return objects_under(payloads, names, depth, below).select("source", "place", F.from_json("item", schema).alias("p")).select("source", "place", "p.*")
+    return once(objects_under(payloads, names, depth, below).select("source", "place", "item"), F.from_json("item", schema)).drop("item")
+
+
+def once(rows: DataFrame, fields: Column) -> DataFrame:
+    """Adds the fields of a struct, worked out once a row: a filter on columns moves below a select and works out their expressions for each mention, but not below an explode."""
+    return rows.select("*", F.explode(F.array(fields)).alias("__once")).select(*rows.columns, "__once.*")
 
 
 def _first(df: DataFrame, *keys: str) -> DataFrame:
@@ -109,10 +114,10 @@ def hybris(payloads: DataFrame, site: str, domain: str, name: str | None = None)
     The price is that of one piece, also where several cost less.
     """
     df = _found(payloads, ("products", "productData", "results"), 6, False, _SEARCH)
-    df = df.withColumns({
-        "id": F.coalesce(_filled("code"), _filled("sku")), "label": F.coalesce(_filled("title"), _filled("name")), "now": _paid("currentPrice"),
-        "before": F.coalesce(_paid("originalPrice"), _paid("regularPrice")), "said": F.array_compact(F.flatten(F.array(*map(_said, _BANNERS)))),
-    })
+    df = once(df, F.struct(
+        F.coalesce(_filled("code"), _filled("sku")).alias("id"), F.coalesce(_filled("title"), _filled("name")).alias("label"), _paid("currentPrice").alias("now"),
+        F.coalesce(_paid("originalPrice"), _paid("regularPrice")).alias("before"), F.array_compact(F.flatten(F.array(*map(_said, _BANNERS)))).alias("said"),
+    ))
     several = F.get(F.filter("said", lambda m: m.rlike(r"(?i)\b\d+\s*(?:for|pour)\s*\$?\d")), F.lit(0))
     members = F.coalesce("isMemberPrice", F.lit(False)) | F.coalesce("memberOnly", F.lit(False)) | F.exists("said", lambda m: m.rlike("(?i)triangle|member|membre"))
     df = df.withColumn("several", several).where(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.col("before") > F.col("now")) & (F.col("several").isNotNull() | ~members))

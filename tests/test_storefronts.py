@@ -89,3 +89,10 @@ def test_places(spark):
     got = [tuple(r) for r in df.select(places.point("t")["label"], places.point("t")["precision"], places.postal_code("t"), places.sortation_area("t")).collect()]
     assert [g[:2] for g in got] == [("Toronto", "fsa"), ("Northern Ontario", "province"), ("Halifax", "city"), ("Montréal", "city"), ("Québec City", "city"), (None, None), (None, None), (None, None), (None, None)]
     assert got[0][2:] == (True, "M5V") and got[2][2:] == (False, None)
+
+
+def test_an_item_is_parsed_once(spark):
+    """A filter on an item's fields must not parse the item again for each field that it names."""
+    found = storefronts.hybris(table(spark, "{}"), "https://t.ca", "t.ca")
+    filters = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if x.strip(" :+-").startswith("Filter")]
+    assert filters and not any("from_json" in x or "get_json_object" in x for x in filters)
