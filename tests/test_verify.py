@@ -76,3 +76,26 @@ def test_merge_gathers_a_source_once(spark):
     assert "collect_list" not in merged._jdf.queryExecution().optimizedPlan().toString()
     (row,) = merged.collect()
     assert row.also_seen_on == ["0", "1"] and row.merged_rows == 6 and row.votes == 15
+
+
+def test_only_linked_rows_are_dealt_out(spark):
+    """Rows that share a key or an id are merged; the others pass by, so that their width is not shuffled."""
+    row = lambda id_, url, title="A lamp of brass", votes=1: (id_, "s", url, title, "m", 100, 200, None, None, None, votes, ["t", "s"], NOW)
+    schema = "id string, source string, canonical_url string, title string, merchant_id string, price_now long, price_was long, description string, image_url string, coupon_code string, votes long, also_seen_on array<string>, posted_at string"
+    rows = [row("a", "https://x.ca/1", "One thing alone"), row("b", "https://x.ca/2"), row("c", "https://x.ca/2", "Named otherwise here"), row("d", "https://x.ca/3"), row("e", "https://x.ca/4", "Twice listed thing", 3), row("e", "https://x.ca/5", "By another name now", 4), row("f", None, None), row("g", None, None)]
+    df = dedupe.saved(spark.createDataFrame(rows, schema).withColumn("posted_at", F.col("posted_at").cast("timestamp_ntz")))
+    got = {r.id: (r.merged_rows, r.votes, r.also_seen_on) for r in dedupe.dedupe(df).collect()}
+    assert got == {"a": (1, 1, ["s", "t"]), "b": (3, 3, ["s", "t"]), "e": (2, 7, ["s", "t"])}
+    out = dedupe.dedupe(df.where("id in ('a', 'd')"))
+    assert {r.id: r.merged_rows for r in out.collect()} == {"a": 1, "d": 1}
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_empty_lake_is_known_to_be_empty(spark):
+    """Nothing is dealt out to meet a table without rows."""
+    from bargainry.operators import mutations
+
+    found = dedupe.saved(spark.createDataFrame([("s", "1", "a", 5)], "source string, source_id string, id string, price_now long")).withColumn("last_seen_at", F.lit(NOW).cast("timestamp_ntz")).withColumn("first_seen_at", F.col("last_seen_at"))
+    after, new = mutations.upsert_deals(mutations.nothing(spark, found.schema), found, F.lit(NOW).cast("timestamp_ntz"))
+    assert "Join" not in after._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in new.collect()] == [("a", 5)] and after.count() == 1
