@@ -106,3 +106,12 @@ def test_a_large_block_is_counted_at_once():
     price = np.arange(n) * 7919 % n
     lower = standing._lower(np.zeros(n, np.int64), price, np.ones(n, np.int64))
     assert n > 50_000 and all(lower[i] == (price[:i] < price[i]).sum() for i in range(0, n, 5000))
+
+
+def test_small_groups_are_dealt_out_once(spark):
+    """Groups of at most a block of points take one shuffle of their rows."""
+    points = spark.createDataFrame([(i, f"p{i % 9}", DAY + timedelta(hours=i % 5), i % 7 + 1) for i in range(90)], "id int, product_key string, observed_at timestamp, price long")
+    out = standing.standing(points)
+    assert out.count() == 90
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.split("Initial Plan")[-1].count("Exchange") == 1
