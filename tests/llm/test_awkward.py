@@ -215,3 +215,19 @@ def test_long_texts(spark):
     rated = {r.doc_id: r.score for r in quality.score(df, quality.fit_rows(np.zeros((0, 14 + quality.BINS)), np.zeros(0, bool))).collect()}
     assert rated[1] == rated[3] == 0.5
     assert {r.doc_id: r.grade for r in toxicity.score(df, toxicity.Model({"w9972": 5.0}, [1.0])).collect()} == {1: 1, 2: 0, 3: 1}
+
+
+@pytest.mark.parametrize("few", [500_000, 10])
+def test_quality_is_fitted_on_every_labelled_row(spark, monkeypatch, few):
+    """Mean, scale and cut are those of all labelled rows, in any number of blocks; of an id's texts one counts."""
+    monkeypatch.setattr(quality, "BLOCK", 16)
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", few)
+    texts = [f"Plain words in a row number {i} of many." if i % 3 else f"BUY NOW!!! ${i} | $$$ | click {i}" for i in range(90)]
+    docs = spark.createDataFrame([*enumerate(texts), (4, texts[4])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    rows = quality.features(texts, quality.Bins())
+    assert np.allclose(model.mean, rows.mean(0, dtype=np.float64)) and np.allclose(model.scale, rows.std(0, dtype=np.float64) + 1e-6, atol=1e-6)
+    raw = np.sort(model.raw(rows))
+    assert model.cut == pytest.approx((raw[29] + raw[30]) / 2)
+    assert ((model.scores(rows) >= 0.5) == [i % 3 > 0 for i in range(90)]).all()
