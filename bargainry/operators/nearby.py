@@ -6,12 +6,15 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import EARTH_KM, haversine_km
 from .dedupe import saved
 
 #: Rows of a cell that one task takes at once; more are dealt to several.
 SPLIT = 4096
+#: Left rows of one place that meet the right rows as one, at most.
+TOGETHER = 64
 #: Cells known to be crowded are broadcast up to so many.
 BROADCAST_ROWS = 500_000
 
@@ -24,7 +27,9 @@ def within_km(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", ln
     to the cells that its circle touches, at most three in each of three bands but near the
     poles, where a band has few cells; so pairs meet by equality, once, and their exact
     distance decides.  Cells go around the date line.  Left rows of a crowded cell are dealt
-    to as many parts as they need, to each of which the cell's right rows go.  Rows without a
+    to as many parts as they need, to each of which the cell's right rows go.  Left rows of one
+    place meet them as one, and follow each other in the result, so that a distance is worked
+    out once for them and a file of all pairs packs well.  Rows without a
     latitude from -90 to 90 and a longitude from -180 to 180 are near nothing; repeated rows
     are paired as often as they are there.
     """
@@ -61,7 +66,13 @@ def within_km(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", ln
         known = df.join(F.broadcast(crowded) if few else crowded, ["__band", "__cell"], "left")
         return known.withColumn("__parts", F.coalesce("__parts", F.lit(1)))
 
-    rows = parted(rows).withColumn("__part", F.pmod(F.xxhash64(*[c for c, kind in left.dtypes if not kind.startswith("map")]), F.col("__parts")).cast("int")).drop("__parts")
+    # the rows of one place are numbered in one task, but in several where a cell has very many
+    salt = F.pmod(F.xxhash64(*[c for c, kind in left.dtypes if not kind.startswith("map")]), F.ceil(F.col("__parts") / TOGETHER))
+    place = ["__band", "__cell", "__parts", lat, lng, "__salt"]
+    rows = parted(rows).withColumn("__salt", salt)
+    rows = rows.withColumn("__turn", F.floor((F.row_number().over(Window.partitionBy(*place).orderBy(lat)) - 1) / TOGETHER))
+    rows = rows.groupBy(*place, "__turn").agg(F.collect_list(F.struct(*left.columns)).alias("__rows"))
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64(lat, lng, "__salt", "__turn"), F.col("__parts")).cast("int")).drop("__parts", "__salt", "__turn")
 
     near = sound(right).select(*[F.col(c).alias(f"near_{c}") for c in right.columns])
     own = band(F.col(f"near_{lat}"))
@@ -71,6 +82,6 @@ def within_km(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", ln
     near = parted(near.withColumn("__cell", F.explode(F.array_distinct(touched))))
     near = near.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
 
-    pairs = rows.join(near, ["__band", "__cell", "__part"]).drop("__band", "__cell", "__part")
+    pairs = rows.join(near, ["__band", "__cell", "__part"])
     pairs = pairs.withColumn("distance_km", haversine_km(F.col(lat), F.col(lng), F.col(f"near_{lat}"), F.col(f"near_{lng}")))
-    return pairs.where(F.col("distance_km") <= km)
+    return pairs.where(F.col("distance_km") <= km).select(F.inline("__rows"), *[f"near_{c}" for c in right.columns], "distance_km")

@@ -115,3 +115,15 @@ def test_small_groups_are_dealt_out_once(spark):
     assert out.count() == 90
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_rows_of_one_place_follow_each_other(spark):
+    """A distance is worked out once for them, and a file of all pairs packs well; a crowd in one place is dealt to parts all the same."""
+    left = spark.range(300).select("id", (45 + F.col("id") % 3 / 100).alias("lat"), F.lit(-75.0).alias("lng"))
+    right = spark.range(7).select("id", (45 + F.col("id") / 100).alias("lat"), F.lit(-75.0).alias("lng"))
+    for split in (4096, 16):
+        rows = nearby.within_km(left, right, 50, split=split).collect()
+        assert sorted((r.id, r.near_id) for r in rows) == [(i, j) for i in range(300) for j in range(7)]
+        if split == 4096:  # 100 rows a place meet as 64 and 36
+            pairs = [(r.lat, r.near_id) for r in rows]
+            assert 1 + sum(a != b for a, b in zip(pairs, pairs[1:], strict=False)) <= 3 * 7 * 2
